@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -106,7 +107,7 @@ class Powers:
     def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
             n = 1 << (n - 1).bit_length()
-            cls.up, cls.down = (np.cumprod(np.concatenate(([1], np.full(n - 1, m, np.uint64))).astype(np.uint64), dtype=np.uint64) for m in (WORD_MUL, WORD_INV))
+            cls.up, cls.down = (np.cumprod(np.where(np.arange(n) > 0, np.uint64(m), np.uint64(1)), dtype=np.uint64) for m in (WORD_MUL, WORD_INV))
         return cls.up, cls.down
 
 
@@ -135,7 +136,7 @@ def lay_out(texts: list[bytes], sep: bytes = b"\n") -> tuple[np.ndarray, np.ndar
     return np.frombuffer(sep + sep.join(texts) + sep, np.uint8), starts, starts + lens
 
 
-def sum_vectors(df: DataFrame, keys: list[str], dtype: str = "int64", fan_in: int = 64) -> DataFrame:
+def sum_vectors(df: DataFrame, keys: list[str], dtype: str = "int64") -> DataFrame:
     """Sum little-endian vectors ``vec`` of type ``dtype`` by ``keys`` in a tree.
 
     ``df`` has the keys, ``vec`` and ``part`` (the writer's number). No task holds more than about
@@ -153,6 +154,7 @@ def sum_vectors(df: DataFrame, keys: list[str], dtype: str = "int64", fan_in: in
         out["vec"] = [total.tobytes()]
         return out
 
+    fan_in = max(4, math.isqrt(df.rdd.getNumPartitions()))
     parts = df.select(*keys, F.col("part").cast("long").alias("part"), "vec")
     level = parts.withColumn("part", F.col("part") % fan_in).groupBy(*keys, "part").applyInPandas(add, schema)
     return level.withColumn("part", F.lit(0).cast("long")).groupBy(*keys).applyInPandas(add, schema).drop("part")

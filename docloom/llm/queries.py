@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, cascade, forest, language, lines, pages, pieces, winnow
+from docloom.llm import bpe, cascade, forest, jaccard, language, lines, mixing, pages, pieces, winnow
 from docloom.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(table(spark, sf_dir, "pages"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,12 +47,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_decontamination, op4_bpe, op5_url_filters, op6_line_dedup, op7_quality_rules, op8_token_counts, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_lm_scoring, op3_decontamination, op4_bpe, op5_url_filters, op6_line_dedup, op7_quality_rules, op8_token_counts, op9_ngram_jaccard, op10_language_id)}
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in cascade.RULES)
@@ -74,8 +82,8 @@ fit AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, leng
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN len(list_intersect(string_split(host, '.'), [{", ".join(f"'{x}'" for x in cascade.LISTED_LABELS)}])) > 0 THEN 'block' ELSE 'allow' END) AS verdict
 FROM url LEFT JOIN fit USING (page_id)""",
     "op6_line_dedup": f"""
-WITH line AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS at FROM documents),
+WITH line AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos FROM documents),
 wide AS (SELECT line, min(doc_id) AS first FROM line WHERE trim(line) <> '' GROUP BY line HAVING count(DISTINCT source) >= {lines.SITES}),
-kept AS (SELECT doc_id, coalesce(string_agg(line.line, chr(10) ORDER BY at) FILTER (wide.first IS NULL OR wide.first = doc_id), '') AS text, count(*) AS n_lines, count(*) FILTER (wide.first <> doc_id) AS n_removed FROM line LEFT JOIN wide USING (line) GROUP BY doc_id)
+kept AS (SELECT doc_id, coalesce(string_agg(line.line, chr(10) ORDER BY pos) FILTER (wide.first IS NULL OR wide.first = doc_id), '') AS text, count(*) AS n_lines, count(*) FILTER (wide.first <> doc_id) AS n_removed FROM line LEFT JOIN wide USING (line) GROUP BY doc_id)
 SELECT doc_id, text, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed FROM kept""",
 }
