@@ -21,6 +21,9 @@ IS_SPACE[list(SPACES)] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 500
+
 #: Multiplier of the polynomial word hash and its inverse modulo 2**64.
 WORD_MUL = 0x9E3779B97F4A7C15
 WORD_INV = pow(WORD_MUL, -1, 1 << 64)
@@ -47,6 +50,9 @@ def settle(df: DataFrame, name: str = "t") -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    # Bounded Arrow batches, unless the session has its own size: texts are long.
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -106,7 +112,7 @@ class Powers:
     @classmethod
     def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            n = 1 << (n - 1).bit_length()
+            n = -(-n // (1 << 19)) << 19
             cls.up, cls.down = (np.cumprod(np.where(np.arange(n) > 0, np.uint64(m), np.uint64(1)), dtype=np.uint64) for m in (WORD_MUL, WORD_INV))
         return cls.up, cls.down
 

@@ -49,6 +49,13 @@ def class_of(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes(), len(shingles)) - (1 << 63)
 
 
+def mark_of(cls: int, rep) -> int:
+    """Stands for a class and the row that speaks for it."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(f"{cls} {rep}")
+
+
 def part_counts(shingles: np.ndarray) -> int:
     """Shingles in each of 8 hash ranges, a byte each; all ones if one has over 254."""
     n = np.bincount((shingles >> np.uint64(19)) & np.uint64(7), minlength=8)
@@ -185,23 +192,23 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     side = lambda t: classes.select(F.col("cls").alias(t), F.col("n").alias(f"{t}_n"), F.col("parts").alias(f"{t}_parts"))
     pairs = settle(pairs.join(side("a"), "a").join(side("b"), "b").filter(~far_apart("a", "b")).select("a", "b"), "pairs")
     of = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = settle(classes.join(of, "cls").select("cls", "rep", F.xxhash64("cls", F.col("rep").cast("string")).alias("mark")), "wanted")
-    sieve = sieve_of(wanted, "cls")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def mark(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([mark_of(c, r) for c, r in zip(b.column("cls").to_pylist(), b.column("rep").to_pylist())], np.uint64).view(np.int64))], names=["mark"])
+
+    # One row of each wanted class passes, but for the sieve's few false hits, whose sets are equal or not asked for.
+    sieve = sieve_of(classes.join(of, "cls").select("cls", "rep").mapInArrow(mark, "mark long"), "mark")
 
     def emit(batches):
         for batch in batches:
             for piece in text_pieces(batch):
-                ids, cls, raw = [], [], []
-                for i, s in zip(piece.column("doc_id"), shingle_sets(utf8(piece.column("text")))):
-                    if len(s) and sieve(np.array([c := class_of(s)], np.int64).view(np.uint64))[0]:
-                        ids.append(i.as_py())
-                        cls.append(c)
-                        raw.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, piece.column("doc_id").type), pa.array(cls, pa.int64()), pa.array(raw, pa.binary())], names=["rep", "cls", "shingles"])
+                found = [(class_of(s), s) for s in shingle_sets(utf8(piece.column("text")))]
+                marks = np.array([mark_of(c, i) for (c, _), i in zip(found, piece.column("doc_id").to_pylist())], np.uint64)
+                own = [x for x, hit in zip(found, sieve(marks) if len(marks) else ()) if hit and len(x[1])]
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.int64()), pa.array([s.tobytes() for _, s in own], pa.binary())], names=["cls", "shingles"])
 
-    sets = docs.select("doc_id", "text").mapInArrow(emit, f"rep {kind}, cls long, shingles binary").join(wanted.select("cls", "rep"), ["cls", "rep"]).groupBy("cls").agg(F.first("shingles").alias("shingles"))
-    sets = settle(sets, "shingles")
+    sets = settle(docs.select("doc_id", "text").mapInArrow(emit, "cls long, shingles binary"), "shingles")
 
     def compare(batches):
         for batch in batches:
@@ -213,7 +220,7 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     full = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
-    return settle(full.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "verified")
+    return settle(full.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct(), "verified")
 
 
 def link_classes(docs: DataFrame, rows: DataFrame, order: np.ndarray) -> tuple[DataFrame, DataFrame]:
