@@ -142,8 +142,18 @@ def lay_out(texts: list[bytes], sep: bytes = b"\n") -> tuple[np.ndarray, np.ndar
     return np.frombuffer(sep + sep.join(texts) + sep, np.uint8), starts, starts + lens
 
 
+def pack(vector: np.ndarray) -> bytes:
+    """A vector for the shuffle: its size in bytes, then its bytes compressed (most counts are 0)."""
+    raw = np.ascontiguousarray(vector).tobytes()
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(packed: bytes, dtype: str) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed[4:], int.from_bytes(packed[:4], "little"), "zstd", asbytes=True), dtype)
+
+
 def sum_vectors(df: DataFrame, keys: list[str], dtype: str = "int64") -> DataFrame:
-    """Sum little-endian vectors ``vec`` of type ``dtype`` by ``keys`` in a tree.
+    """Sum packed vectors ``vec`` of type ``dtype`` by ``keys`` in a tree.
 
     ``df`` has the keys, ``vec`` and ``part`` (the writer's number). No task holds more than about
     the square root of the number of writers' vectors of one key.
@@ -154,10 +164,10 @@ def sum_vectors(df: DataFrame, keys: list[str], dtype: str = "int64") -> DataFra
     def add(pdf):
         total = None
         for v in pdf["vec"]:
-            x = np.frombuffer(v, dtype)
+            x = unpack(v, dtype)
             total = x.copy() if total is None else total + x
         out = pdf.iloc[:1][[*keys, "part"]].copy()
-        out["vec"] = [total.tobytes()]
+        out["vec"] = [pack(total)]
         return out
 
     fan_in = max(4, math.isqrt(df.rdd.getNumPartitions()))

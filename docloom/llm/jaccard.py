@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import LOWER, lay_out, mix64, settle, sum_vectors, text_pieces, utf8, words_of
+from docloom.llm.common import LOWER, lay_out, mix64, pack, settle, sum_vectors, text_pieces, unpack, utf8, words_of
 from docloom.llm.graph import components
 
 #: Words of a shingle, and the least similarity in hundredths.
@@ -132,12 +132,12 @@ def describe(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         part = TaskContext.get().partitionId()
         for k in range(0, len(counts), CHUNK):
             if counts[k : k + CHUNK].any():
-                yield pa.RecordBatch.from_pylist([{"chunk": k // CHUNK, "part": part, "vec": counts[k : k + CHUNK].astype("<u4").tobytes()}], schema)
+                yield pa.RecordBatch.from_pylist([{"chunk": k // CHUNK, "part": part, "vec": pack(counts[k : k + CHUNK].astype("<u4"))}], schema)
 
     both = settle(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, cls long, parts long, chunk int, part long, vec binary"), "sets")
     order = np.zeros(1 << ORDER_BITS, np.uint32)
     for r in sum_vectors(both.filter("chunk is not null").select("chunk", "part", "vec"), ["chunk"], "<u4").toLocalIterator():  # 2**ORDER_BITS counters in all
-        order[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(bytes(r.vec), "<u4")
+        order[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = unpack(bytes(r.vec), "<u4")
     return both.filter("chunk is null").select("doc_id", "n", "cls", "parts"), order
 
 
