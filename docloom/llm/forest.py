@@ -14,7 +14,7 @@ TREES, SUBSAMPLE, SAMPLE = 100, 256, 8192
 #: Base rules: fewest words, and the share of words in repeated windows (in hundredths) above which a text fails.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Share of labelled good rows that the threshold must keep, and bins of the score histogram.
-KEEP_GOOD, BINS = 0.995, 1000
+KEEP_GOOD, BINS = 0.98, 1000
 
 SYMBOLS = b"#*$%&|<>"
 NOT_SYMBOL = bytes(b for b in range(256) if b not in SYMBOLS)
