@@ -27,6 +27,7 @@ BESIDE = frozenset("ad ads adv advert adverts advertisement advertising banner s
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>])*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
+DIGITS = re.compile("[0-9]+")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -45,12 +46,19 @@ def beside(name: str, attributes: str) -> bool:
     return False
 
 
+def mark(attributes: str) -> str:
+    """Class and id of an element without digits, which tell one page's elements apart."""
+    if not attributes or "=" not in attributes:
+        return ""
+    return "".join(f".{DIGITS.sub('', a or b or c)}" for key, a, b, c in ATTR.findall(attributes) if key.lower() in ("class", "id"))
+
+
 def lines_of(page: str) -> list[tuple[str, str, int]]:
     """(text, path, place) of each line in page order.
 
     A line is the text between two block borders, with character references decoded, white space
     turned into single spaces, and trimmed; empty lines are left out. The path names the block
-    elements around it. place is 0 beside the main text, 2 inside an article or main element, else 1.
+    elements around it, with their classes. place is 0 beside the main text, 2 inside an article or main element, else 1.
     """
     out: list[tuple[str, str, int]] = []
     stack: list[tuple[str, int, int]] = []  # name, and how many elements beside and main ones are open
@@ -144,7 +152,7 @@ def lines_of(page: str) -> list[tuple[str, str, int]]:
                             break
                         if stack[k][0] in ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "div", "article"):
                             break
-            blocks.append(name)
+            blocks.append(name + mark(found[3]))
         s = int(beside(name, found[3] or ""))
         m = int(name in MAIN or "role=\"main\"" in (found[3] or ""))
         side, main = side + s, main + m
