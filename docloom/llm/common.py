@@ -61,6 +61,12 @@ def row_key(text: str = "text", ident: str = "doc_id"):
     return F.xxhash64(F.col(ident).cast("string"), F.col(text))
 
 
+def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and row key aren't among ``lost`` (doc_id, key); a null id equals itself."""
+    gone = lost.select(F.col("doc_id").alias("__d"), F.col("key").alias("__k")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (row_key() == F.col("__k")), "left_anti")
+
+
 def mod_of_id(ident: str, n: int):
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(ident).cast("string"), F.lit("")).cast("binary")) % n

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import LOWER, lay_out, mix64, pack, settle, sum_vectors, text_pieces, unpack, utf8, words_of
+from docloom.llm.common import LOWER, lay_out, mix64, pack, row_key, settle, sum_vectors, text_pieces, unpack, utf8, without, words_of
 from docloom.llm.graph import components
 
 #: Words of a shingle, and the least similarity in hundredths.
@@ -113,7 +113,7 @@ def sieve_of(df: DataFrame, column: str, bits: int = SIEVE_BITS):
 
 
 def describe(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """Each row's class (equal sets share one), and the hashed shingle frequencies."""
+    """Each row (doc_id, key) with its class (equal sets share one), and the hashed shingle frequencies."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     arrow = docs.select("doc_id").limit(0).toArrow().schema.field(0).type
 
@@ -121,24 +121,24 @@ def describe(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         from pyspark import TaskContext
 
         counts = np.zeros(1 << ORDER_BITS, np.uint32)
-        schema = pa.schema([("doc_id", arrow), ("n", pa.int64()), ("cls", pa.int64()), ("parts", pa.int64()), ("chunk", pa.int32()), ("part", pa.int64()), ("vec", pa.binary())])
+        schema = pa.schema([("doc_id", arrow), ("key", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("parts", pa.int64()), ("chunk", pa.int32()), ("part", pa.int64()), ("vec", pa.binary())])
         for batch in batches:
             for piece in text_pieces(batch):
                 sets = shingle_sets(utf8(piece.column("text")))
                 if any(map(len, sets)):
                     counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
                 nothing = [None] * len(sets)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(x, t) for x, t in (([len(s) for s in sets], pa.int64()), ([class_of(s) if len(s) else None for s in sets], pa.int64()), ([part_counts(s) for s in sets], pa.int64()), (nothing, pa.int32()), (nothing, pa.int64()), (nothing, pa.binary())))], schema=schema)
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("key"), *(pa.array(x, t) for x, t in (([len(s) for s in sets], pa.int64()), ([class_of(s) if len(s) else None for s in sets], pa.int64()), ([part_counts(s) for s in sets], pa.int64()), (nothing, pa.int32()), (nothing, pa.int64()), (nothing, pa.binary())))], schema=schema)
         part = TaskContext.get().partitionId()
         for k in range(0, len(counts), CHUNK):
             if counts[k : k + CHUNK].any():
                 yield pa.RecordBatch.from_pylist([{"chunk": k // CHUNK, "part": part, "vec": pack(counts[k : k + CHUNK].astype("<u4"))}], schema)
 
-    both = settle(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, cls long, parts long, chunk int, part long, vec binary"), "sets")
+    both = settle(docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, n long, cls long, parts long, chunk int, part long, vec binary"), "sets")
     order = np.zeros(1 << ORDER_BITS, np.uint32)
     for r in sum_vectors(both.filter("chunk is not null").select("chunk", "part", "vec"), ["chunk"], "<u4").toLocalIterator():  # 2**ORDER_BITS counters in all
         order[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = unpack(bytes(r.vec), "<u4")
-    return both.filter("chunk is null").select("doc_id", "n", "cls", "parts"), order
+    return both.filter("chunk is null").select("doc_id", "key", "n", "cls", "parts"), order
 
 
 def prefixes(docs: DataFrame, order, sieve=None) -> DataFrame:
@@ -261,9 +261,24 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     have no shingles and are alone; repeated rows repeat; other columns are left out; an empty
     table gives an empty result. Whole texts count, and no group is capped.
     """
+    return row_components(docs).drop("key")
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """All columns of the rows that speak for their component: those of the document with its least doc_id.
+
+    Rows are told apart by id and text, so another text under the same id isn't touched. A row
+    without an id goes if it links with one that has an id, and stays otherwise; rows repeated under the least id
+    stay; texts without words are alone and stay; an empty table gives an empty result.
+    """
+    return without(docs, row_components(docs).filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))))
+
+
+def row_components(docs: DataFrame) -> DataFrame:
+    """doc_id, key, n_shingles, component_id of each row."""
     rows, order = describe(docs)
     classes, comps = link_classes(docs, rows, order)
     named = classes.select("cls", "rep").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of = named.join(ids, "comp").select("cls", "component_id")
-    return rows.join(of, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(of, "cls", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import mod_of_id, text_pieces, utf8
+from docloom.llm.common import lay_out, mod_of_id, text_pieces, utf8
 
 #: Units of each direction, bytes of a window, and windows that run side by side.
 UNITS, STEPS, SIDE = 8, 48, 4096
@@ -164,6 +164,23 @@ def train(docs: DataFrame, docs_a_lang: int = DOCS_A_LANG, rounds: int = ROUNDS)
     return Net(langs).fit(x[even], np.array([len(texts[i]) for i in even]), target[even], rounds)
 
 
+def labels(texts: list[bytes], net: Net | None) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each whole text."""
+    pred, score = np.array(["und"] * len(texts), object), np.zeros(len(texts))
+    letters = np.array([any(c.isalpha() for c in t) for t in (x.decode() for x in texts)], bool) if net else np.zeros(len(texts), bool)
+    if letters.any():
+        own = np.flatnonzero(letters)
+        buf, starts, ends = lay_out([texts[i] for i in own])
+        rows, size, text = windows(buf, starts, ends)
+        pool = np.zeros((len(own), len(net.langs)))
+        np.add.at(pool, text, net.probabilities(rows, size))
+        pool /= (ends - starts)[:, None]
+        best = pool.argmax(1)
+        pred[own] = [net.langs[k] for k in best]
+        score[own] = np.clip(pool[np.arange(len(own)), best], 0, 1)
+    return pred, score
+
+
 def identify(docs: DataFrame, net: Net | None) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
@@ -174,24 +191,26 @@ def identify(docs: DataFrame, net: Net | None) -> DataFrame:
     """
 
     def run(batches):
-        from docloom.llm.common import lay_out
-
         for batch in batches:
             for part in text_pieces(batch, most_bytes=1_000_000):
-                texts = utf8(part.column("text"))
-                pred, score = np.array(["und"] * len(texts), object), np.zeros(len(texts))
-                letters = np.array([any(c.isalpha() for c in t) for t in (x.decode() for x in texts)], bool) if net else np.zeros(len(texts), bool)
-                if letters.any():
-                    own = np.flatnonzero(letters)
-                    buf, starts, ends = lay_out([texts[i] for i in own])
-                    rows, size, text = windows(buf, starts, ends)
-                    pool = np.zeros((len(own), len(net.langs)))
-                    np.add.at(pool, text, net.probabilities(rows, size))
-                    pool /= (ends - starts)[:, None]
-                    best = pool.argmax(1)
-                    pred[own] = [net.langs[k] for k in best]
-                    score[own] = np.clip(pool[np.arange(len(own)), best], 0, 1)
+                pred, score = labels(utf8(part.column("text")), net)
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "lang_pred": pa.array(pred.tolist(), pa.string()), "score": pa.array(score)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", (mod_of_id("doc_id", 4) == 2).alias("held_out")).mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def drop_unknown(docs: DataFrame, net: Net | None, least: float) -> DataFrame:
+    """All columns of the rows whose language is learned and scores ``least`` or more (see ``identify``).
+
+    Rows are judged where they are read: nothing is joined or shuffled, so null and repeated ids are
+    no matter. If nothing was learned, every row goes; an empty table gives an empty result.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for part in text_pieces(batch, most_bytes=1_000_000):
+                pred, score = labels(utf8(part.column("text")), net)
+                yield part.filter(pa.array((pred != "und") & (score >= least), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import let, row_key, settle
+from docloom.llm.common import let, row_key, settle, without
 
 #: Words of a hit span, of a hashed gram, and grams of a winnowing window: GRAM + WINDOW - 1 = SPAN,
 #: so two texts that share SPAN words in a row share the least gram hash of those words.
@@ -96,3 +96,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, inline: int = INLINE) -
     every = docs.select("doc_id", row_key().alias("key"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     joined = every.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
     return joined.select("doc_id", "n_words", F.coalesce("hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("sha", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), (F.coalesce("hit", F.lit(0)) > 0).alias("contaminated"))
+
+
+def drop_hit(docs: DataFrame, benchmark: DataFrame, inline: int = INLINE) -> DataFrame:
+    """All columns of the rows without a hit span (see ``decontaminate``).
+
+    Rows are told apart by id and text, so of two texts under one id, or under none, only the hit
+    one goes; repeated rows are treated alike; an empty table gives an empty result.
+    """
+    return without(docs, hits(docs, benchmark, inline))

@@ -283,6 +283,29 @@ def test_differencing(spark):
     assert got[100].text == got[102].text == "" and got[101].text == "alone" and got[100].n_chars == 0
 
 
+def test_dropping_rows(spark, docs, empty):
+    """Null and shared ids, repeated rows, and columns named like the operators' own."""
+    schema = "doc_id long, text string, score string, key string, cls string, n string"
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(40))
+    one, two, three, four = text(), text(), text(), text()
+    item = text()
+    rows = [(i, t, "s", "k", "c", "n") for i, t in ((1, one), (2, one + " x"), (None, one), (None, two), (2, three), (3, four), (3, four), (4, None), (5, ""), (6, None))]
+    own = sorted(jaccard.drop_near_copies(spark.createDataFrame(rows, schema)).collect(), key=repr)
+    assert own == sorted([r for r in rows if r not in (rows[1], rows[2])], key=repr)
+    hit = [(i, t, "s", "k", "c", "n") for i, t in ((1, one + " " + item), (1, two), (None, item), (None, three), (2, four), (2, four), (3, None), (4, ""))]
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for inline in (1000, 0):
+        left = winnow.drop_hit(spark.createDataFrame(hit, schema), benchmark, inline)
+        assert sorted(left.collect(), key=repr) == sorted([r for r in hit if item not in (r[1] or "")], key=repr)
+    net = language.train(docs, rounds=5)
+    fits = {r.doc_id: r.lang_pred != "und" and r.score >= 0.5 for r in language.identify(docs, net).collect()}
+    assert len(set(fits.values())) == 2
+    assert sorted(map(tuple, language.drop_unknown(docs, net, 0.5).collect()), key=repr) == sorted((tuple(r) for r in some_docs() if fits[r[0]]), key=repr)
+    assert language.drop_unknown(docs, None, 0.5).count() == 0
+    assert all(f(empty).count() == 0 for f in (jaccard.drop_near_copies, lambda d: winnow.drop_hit(d, benchmark), lambda d: language.drop_unknown(d, net, 0.5)))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 
