@@ -17,16 +17,9 @@ from docloom.llm.common import settle, table
 LEAST_SCORE = 0.35
 
 
-def keep(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``wanted``, whose other columns are dropped."""
-    ids = wanted.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those that no learned language fits."""
-    answer = language.identify(docs, language.train(docs))
-    return keep(docs, answer.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)))
+    return language.drop_unknown(docs, language.train(docs), LEAST_SCORE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,14 +29,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each linked group."""
-    answer = jaccard.jaccard_components(docs)
-    return keep(docs, answer.filter("component_id = doc_id"))
+    return jaccard.drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that share a span with a benchmark item."""
-    answer = winnow.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return keep(docs, answer.filter("not contaminated"))
+    return winnow.drop_hit(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
