@@ -37,17 +37,27 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def settle(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
+def settle(df: DataFrame, name: str = "t", by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table (a folder for each value of ``by``) in the shared folder and read it back.
 
     It cuts the lineage, so a lost executor costs a re-read and not a recomputation.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(settled: DataFrame, but: str = "") -> None:
+    """Deletes the files of a settled table, except in the folder ``but``."""
+    sc = settled.sparkSession.sparkContext
+    for name in settled.inputFiles():
+        if but and f"/{but}/" in name:
+            continue
+        path = sc._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, False)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     # Bounded Arrow batches, unless the session has its own size: texts are long.

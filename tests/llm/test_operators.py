@@ -250,6 +250,44 @@ def test_scores(docs, empty):
     assert mixing.score(empty).count() == 0
 
 
+def test_context_counts(spark):
+    """What a context has seen at a node is counted exactly, on however many texts and parts."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abé \n", k=rng.randint(0, 300))) if i % 3 else "".join(map(chr, rng.choices(range(32, 900), k=900))) for i in range(60)]
+    held = [i % 5 == 0 for i in range(60)]
+    code = mixing.Code(np.bincount(np.frombuffer("".join(texts).encode(), np.uint8), minlength=256))
+    seen = collections.defaultdict(lambda: [0, 0])
+    ways = {}
+    for t, h in zip(texts, held):
+        raw = bytes([mixing.END]) * mixing.PAD + t.encode() + bytes([mixing.END])
+        for i in range(mixing.PAD, len(raw)):
+            word = b"" if raw[i - 1] in b" \t\n\v\f\r\xff" else word + raw[i - 1 : i]
+            leaf = int(code.leaf[raw[i]])
+            bits = tuple(code.bits[: code.size[leaf], leaf].tolist())
+            for k, ctx in enumerate((raw[i - 3 : i], raw[i - 5 : i], word)):
+                ways[k, ctx, leaf] = bits
+                for d, b in enumerate(bits if not h else ()):
+                    seen[k, ctx, bits[:d]][b] += 1
+    df = spark.createDataFrame(list(zip(range(60), held, texts)), "doc_id long, held_out boolean, text string")
+    got = {}
+    for parts, rows in ((1, df.coalesce(1)), (7, df.repartition(4))):
+        asked = mixing.settle(mixing.ask(rows, code, parts))
+        own = {(r.grp, r.k, r.part): bytes(r.blob) for r in asked.filter("k >= 0").collect()}
+        for grp in {g for g, _, _ in own}:
+            told = mixing.answer(asked.withColumn("grp", F.when(F.col("grp") == grp, mixing.SAMPLE).otherwise(F.col("grp"))), code)
+            for r in told.filter(F.col("grp") == mixing.SAMPLE).collect():
+                gram, _ = mixing.of_blob(own[grp, r.k, r.part])
+                none, one = mixing.unplanes(bytes(r.blob), "<u4").reshape(2, -1).tolist()
+                at = 0
+                for g in gram.tolist():
+                    n = int(code.size[g & 255])
+                    value = (tuple(none[at : at + n]), tuple(one[at : at + n]))
+                    assert got.setdefault((r.k, g), value) == value
+                    at += n
+    expected = sorted((k, leaf, (tuple(seen[k, ctx, bits[:d]][0] for d in range(len(bits))), tuple(seen[k, ctx, bits[:d]][1] for d in range(len(bits))))) for (k, ctx, leaf), bits in ways.items())
+    assert sorted((k, g & 255, value) for (k, g), value in got.items()) == expected
+
+
 def test_code_is_complete():
     size, nodes, bits = mixing.huffman(np.array([1000, 3, 0, 7] + [0] * 252))
     assert math.isclose(sum(2.0 ** -int(s) for s in size), 1.0) and size.max() <= mixing.DEPTHS
