@@ -53,26 +53,28 @@ def common_prefix(a: str, b: str) -> int:
     return n
 
 
-def kept_lines(place: np.ndarray, paths: list, chars: np.ndarray, shared: np.ndarray) -> np.ndarray:
+def kept_lines(place: np.ndarray, paths: list, chars: np.ndarray, shared: np.ndarray | None) -> np.ndarray:
     """Which lines are the main text.
 
-    Lines beside the main text go. With an article or main element its lines are the text; else
-    all lines are, without those shared with the partner page, unless the block path of a shared
-    line holds OWN_TIMES its characters in lines of the page's own (a phrase of the article that the
-    partner has too).
+    Lines beside the main text go, and so do those shared with the partner page, wherever they
+    stand, unless the block path of a shared line holds OWN_TIMES its characters in lines of the
+    page's own (a phrase of the text that the partner has too); inside article and main elements as
+    many characters are enough. Without a partner (None) the tags decide: the lines of article and
+    main elements are the text if they have at least as many characters as the others.
     """
-    if (place == 2).any():
-        return place == 2
+    if shared is None:
+        inside = place == 2
+        return inside if inside.any() and chars[inside].sum() >= chars[place == 1].sum() else place > 0
     own: dict = {}
     both: dict = {}
-    for p, c, s in zip(paths, chars.tolist(), shared.tolist()):
-        (both if s else own)[p] = (both if s else own).get(p, 0) + c
-    rescued = np.array([own.get(p, 0) >= OWN_TIMES * both.get(p, 0) for p in paths], bool)
-    return (place == 1) & (~shared | rescued)
+    for p, k, c, s in zip(paths, place.tolist(), chars.tolist(), shared.tolist()):
+        (both if s else own)[p, k] = (both if s else own).get((p, k), 0) + c
+    rescued = np.array([own.get((p, k), 0) >= (1 if k == 2 else OWN_TIMES) * both.get((p, k), 0) for p, k in zip(paths, place.tolist())], bool)
+    return (place > 0) & (~shared | rescued)
 
 
-def partner(page: tuple, near: list[tuple]) -> np.ndarray:
-    """The lines of ``page`` that the nearest page by URL path shares; of none if all are copies."""
+def partner(page: tuple, near: list[tuple]) -> np.ndarray | None:
+    """The lines of ``page`` that the nearest page by URL path shares; None if there is none or all are copies."""
     _, _, own_path, lines = page
     a = lines["hash"].tolist()
     body = lines["place"] > 0
@@ -81,7 +83,7 @@ def partner(page: tuple, near: list[tuple]) -> np.ndarray:
         shared[lcs(a, other["hash"].tolist())] = True
         if not body.any() or (shared & body).sum() < COPY * body.sum():
             return shared
-    return np.zeros(len(a), bool)
+    return None
 
 
 LINE = np.dtype([("hash", "<i8"), ("path", "<i8"), ("chars", "<i4"), ("place", "i1")])
@@ -94,8 +96,8 @@ def packed(page: str) -> bytes:
     return np.array(rows, LINE).tobytes()
 
 
-def drop_lists(pages: DataFrame) -> DataFrame:
-    """(key, gone) for pages that lose lines to their partner: the places of these lines.
+def keep_lists(pages: DataFrame) -> DataFrame:
+    """(key, kept) for pages whose partner changes what the tags alone keep: the places of the lines to keep.
 
     A page's record is its line hashes, not its text. Records are dealt out by ranges of host, path
     and id, so a host of any size is spread over many tasks; each task pairs the pages of its range,
@@ -159,12 +161,12 @@ def drop_lists(pages: DataFrame) -> DataFrame:
             shared = partner(page, near)
             lines = page[3]
             keep = kept_lines(lines["place"], lines["path"].tolist(), lines["chars"], shared)
-            plain = kept_lines(lines["place"], lines["path"].tolist(), lines["chars"], np.zeros(len(lines), bool))
+            plain = kept_lines(lines["place"], lines["path"].tolist(), lines["chars"], None)
             if (keep != plain).any():
-                out.append((page[0], np.flatnonzero(plain & ~keep).astype(np.int32)))
+                out.append((page[0], np.flatnonzero(keep).astype(np.int32)))
 
         def batch():
-            made = pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in out], pa.int64()), "gone": pa.array([g for _, g in out], pa.list_(pa.int32()))})
+            made = pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in out], pa.int64()), "kept": pa.array([g for _, g in out], pa.list_(pa.int32()))})
             out.clear()
             return made
 
@@ -181,29 +183,32 @@ def drop_lists(pages: DataFrame) -> DataFrame:
             settle_one(window, i)
         yield batch()
 
-    return dealt.mapInArrow(pair, "key long, gone array<int>")
+    return dealt.mapInArrow(pair, "key long, kept array<int>")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
     Pages are paired with the nearest page by URL path on their host; their text lines are aligned by
-    longest common subsequence, and shared lines are deleted outside of article and main elements (see
+    longest common subsequence, and shared lines are deleted, inside article and main elements too (see
     ``kept_lines``). A null or empty page has an empty text; a page alone on its host, without a url,
     or among copies of itself keeps its lines; repeated rows give equal texts; other columns are left
     out; an empty table gives an empty result. Whole pages are read.
     """
-    gone = drop_lists(pages).groupBy("key").agg(F.max("gone").alias("gone"))  # equal rows may stand next to different pages
-    rows = pages.select("page_id", "url", "html", F.xxhash64(F.col("page_id").cast("string"), "url", "html").alias("key")).join(gone, "key", "left").select("page_id", "url", "html", "gone")
+    kept = keep_lists(pages).groupBy("key").agg(F.max("kept").alias("kept"))  # equal rows may stand next to different pages
+    rows = pages.select("page_id", "url", "html", F.xxhash64(F.col("page_id").cast("string"), "url", "html").alias("key")).join(kept, "key", "left").select("page_id", "url", "html", "kept")
 
     def run(batches):
         for b in batches:
             texts = []
-            for page, dropped in zip(b.column("html").to_pylist(), b.column("gone").to_pylist()):
+            for page, told in zip(b.column("html").to_pylist(), b.column("kept").to_pylist()):
                 lines = lines_of(page or "")
                 place = np.array([k for _, _, k in lines], np.int8)
-                keep = kept_lines(place, [p for _, p, _ in lines], np.zeros(len(lines)), np.zeros(len(lines), bool))
-                keep[dropped or []] = False
+                if told is None:
+                    keep = kept_lines(place, [p for _, p, _ in lines], np.array([len(t) for t, _, _ in lines], int), None)
+                else:
+                    keep = np.zeros(len(lines), bool)
+                    keep[told] = True
                 texts.append("\n".join(t for (t, _, _), k in zip(lines, keep) if k))
             yield pa.RecordBatch.from_pydict({"page_id": b.column("page_id"), "url": b.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
 

@@ -321,6 +321,20 @@ def test_differencing(spark):
     assert got[100].text == got[102].text == "" and got[101].text == "alone" and got[100].n_chars == 0
 
 
+def test_differencing_beside_and_inside_article(spark):
+    page = "<html><body><article><p>Teaser of the site</p></article><div class=body>{}</div><article><p>Own end {}</p></article></body></html>"
+    rows = [(i, f"http://a.org/x/{i}", page.format("".join(f"<p>story {i} line {j}</p>" for j in range(6)), i)) for i in range(6)]
+    inside = "<html><body><article><div class=sign><p>Sign up for our letters today</p></div><p>{}</p></article></body></html>"
+    rows += [(10 + i, f"http://b.org/x/{i}", inside.format("</p><p>".join(f"text {i} line {j}" for j in range(5)))) for i in range(3)]
+    rows += [(20, "http://c.org/1", page.format("<p>a story that is longer than both small articles are</p>", 1))]
+    got = {r.page_id: r.text.split("\n") for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i in range(6):
+        assert [f"story {i} line {j}" for j in range(6)] == [x for x in got[i] if x.startswith("story")] and f"Own end {i}" in got[i]
+    for i in range(3):
+        assert got[10 + i] == [f"text {i} line {j}" for j in range(5)]
+    assert "a story that is longer than both small articles are" in got[20]
+
+
 def test_dropping_rows(spark, docs, empty):
     """Null and shared ids, repeated rows, and columns named like the operators' own."""
     schema = "doc_id long, text string, score string, key string, cls string, n string"
