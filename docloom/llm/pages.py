@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.cascade import host, path
-from docloom.llm.common import shared_dir
+from docloom.llm.common import settle
 from docloom.llm.markup import lines_of
 
-#: Neighbours on either side in URL order that may become a page's partner, and the share of shared
-#: lines from which a partner counts as a copy of the page, which tells nothing of its frame.
-REACH, COPY = 2, 0.9
+#: Neighbours on either side in URL order that may become the partner of a class of equal pages, and
+#: what the rows of a class are spread over when they learn its result. From the share COPY of shared
+#: lines on, a partner may be another version of the page.
+REACH, SALTS, COPY = 2, 32, 0.9
 #: Shared lines stay where their block path holds this many times their characters in own lines.
 OWN_TIMES = 3
 
@@ -59,58 +60,75 @@ def kept_lines(place: np.ndarray, paths: list, chars: np.ndarray, shared: np.nda
     Lines beside the main text go, and so do those shared with the partner page, wherever they
     stand, unless the block path of a shared line holds OWN_TIMES its characters in lines of the
     page's own (a phrase of the text that the partner has too); inside article and main elements as
-    many characters are enough. Without a partner (None) the tags decide: the lines of article and
+    many characters are enough. If the partner shares nearly all, any own line in the block path is: it
+    may be another version of the same text, or a short text in the same frame. Without a partner
+    (None), or if it has every line, the tags decide: the lines of article and
     main elements are the text if they have at least as many characters as the others.
     """
-    if shared is None:
+    body = place > 0
+    if shared is None or not (body & ~shared).any():
         inside = place == 2
         return inside if inside.any() and chars[inside].sum() >= chars[place == 1].sum() else place > 0
     own: dict = {}
     both: dict = {}
     for p, k, c, s in zip(paths, place.tolist(), chars.tolist(), shared.tolist()):
         (both if s else own)[p, k] = (both if s else own).get((p, k), 0) + c
-    rescued = np.array([own.get((p, k), 0) >= (1 if k == 2 else OWN_TIMES) * both.get((p, k), 0) for p, k in zip(paths, place.tolist())], bool)
+    near = (shared & body).sum() >= COPY * body.sum()
+    rescued = np.array([own.get((p, k), 0) >= 1 if near else own.get((p, k), 0) >= (1 if k == 2 else OWN_TIMES) * both.get((p, k), 0) for p, k in zip(paths, place.tolist())], bool)
     return (place > 0) & (~shared | rescued)
 
 
 def partner(page: tuple, near: list[tuple]) -> np.ndarray | None:
-    """The lines of ``page`` that the nearest page by URL path shares; None if there is none or all are copies."""
+    """Which body lines of ``page`` its partner shares: the nearest page by URL path that hasn't nearly all
+    of them, else the nearest; None if there is none. All pages are of different classes."""
     _, _, own_path, lines = page
-    a = lines["hash"].tolist()
-    body = lines["place"] > 0
+    first = None
     for _, _, _, other in sorted(near, key=lambda x: -common_prefix(x[2], own_path)):
-        shared = np.zeros(len(a), bool)
-        shared[lcs(a, other["hash"].tolist())] = True
-        if not body.any() or (shared & body).sum() < COPY * body.sum():
+        shared = np.zeros(len(lines), bool)
+        shared[lcs(lines["hash"].tolist(), other["hash"].tolist())] = True
+        if shared.sum() < COPY * len(lines):
             return shared
-    return None
+        first = shared if first is None else first
+    return first
 
 
 LINE = np.dtype([("hash", "<i8"), ("path", "<i8"), ("chars", "<i4"), ("place", "i1")])
 
 
-def packed(page: str) -> bytes:
+def packed(page: str) -> np.ndarray:
+    """The body lines of a page: those that don't stand beside the main text."""
     import xxhash
 
-    rows = [(xxhash.xxh3_64_intdigest(t) - (1 << 63), xxhash.xxh3_64_intdigest(p) - (1 << 63), len(t), k) for t, p, k in lines_of(page)]
-    return np.array(rows, LINE).tobytes()
+    rows = [(xxhash.xxh3_64_intdigest(t) - (1 << 63), xxhash.xxh3_64_intdigest(p) - (1 << 63), len(t), k) for t, p, k in lines_of(page) if k]
+    return np.array(rows, LINE)
+
+
+def class_of(site: str | None, lines: np.ndarray) -> int:
+    """Pages of a host with equal body lines are one class."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest((site or "").encode() + b"\n" + lines.tobytes()) - (1 << 63)
 
 
 def keep_lists(pages: DataFrame) -> DataFrame:
-    """(key, kept) for pages whose partner changes what the tags alone keep: the places of the lines to keep.
+    """(key, kept) for pages whose partner changes what the tags alone keep: the places, among the body
+    lines, of those to keep.
 
-    A page's record is its line hashes, not its text. Records are dealt out by ranges of host, path
+    A page's record is its line hashes, not its text. Pages of a host with equal body lines are one
+    class, which stands under the least path of its pages; classes are paired, so that a run of copies
+    of any length meets other pages, and every page of a class gets the same. The classes' records are dealt out by ranges of host, path
     and id, so a host of any size is spread over many tasks; each task pairs the pages of its range,
     and the edge records of all ranges (2 * REACH each) stand in for the ranges next to it.
     """
-    shared_dir(pages.sparkSession)
-
     def pack(batches):
         for b in batches:
-            yield pa.RecordBatch.from_pydict({c: b.column(c) for c in ("key", "host", "path")} | {"lines": pa.array([packed(x or "") for x in b.column("html").to_pylist()], pa.binary())})
+            lines = [packed(x or "") for x in b.column("html").to_pylist()]
+            yield pa.RecordBatch.from_pydict({c: b.column(c) for c in ("key", "host", "path")} | {"cls": pa.array([class_of(h, x) for h, x in zip(b.column("host").to_pylist(), lines)], pa.int64()), "lines": pa.array([x.tobytes() for x in lines], pa.binary())})
 
     record = "key long, host string, path string, lines binary"
-    rows = pages.select(F.xxhash64(F.col("page_id").cast("string"), "url", "html").alias("key"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "html").mapInArrow(pack, record)
+    packs = pages.select(F.xxhash64(F.col("page_id").cast("string"), "url", "html").alias("key"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "html").mapInArrow(pack, "key long, host string, path string, cls long, lines binary")
+    all_ = settle(packs, "lines")
+    rows = all_.groupBy("cls").agg(F.first("host").alias("host"), F.min("path").alias("path"), F.first("lines").alias("lines")).select(F.col("cls").alias("key"), "host", "path", "lines")
     # checkpoint() keeps partitions and their order as they are.
     dealt = rows.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key").checkpoint()
 
@@ -183,7 +201,9 @@ def keep_lists(pages: DataFrame) -> DataFrame:
             settle_one(window, i)
         yield batch()
 
-    return dealt.mapInArrow(pair, "key long, kept array<int>")
+    # A class may have any number of pages, so its result is joined on as many salts.
+    salted = dealt.mapInArrow(pair, "key long, kept array<int>").select(F.col("key").alias("cls"), "kept", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return all_.select("key", "cls", F.pmod("key", F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["cls", "salt"]).select("key", "kept")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -191,11 +211,11 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     Pages are paired with the nearest page by URL path on their host; their text lines are aligned by
     longest common subsequence, and shared lines are deleted, inside article and main elements too (see
-    ``kept_lines``). A null or empty page has an empty text; a page alone on its host, without a url,
-    or among copies of itself keeps its lines; repeated rows give equal texts; other columns are left
+    ``kept_lines``). A null or empty page has an empty text; a page whose host has no other body lines keeps
+    what the tags say; copies within a host get equal texts; repeated rows give equal texts; other columns are left
     out; an empty table gives an empty result. Whole pages are read.
     """
-    kept = keep_lists(pages).groupBy("key").agg(F.max("kept").alias("kept"))  # equal rows may stand next to different pages
+    kept = keep_lists(pages).groupBy("key").agg(F.first("kept").alias("kept"))  # equal rows are told the same
     rows = pages.select("page_id", "url", "html", F.xxhash64(F.col("page_id").cast("string"), "url", "html").alias("key")).join(kept, "key", "left").select("page_id", "url", "html", "kept")
 
     def run(batches):
@@ -208,7 +228,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                     keep = kept_lines(place, [p for _, p, _ in lines], np.array([len(t) for t, _, _ in lines], int), None)
                 else:
                     keep = np.zeros(len(lines), bool)
-                    keep[told] = True
+                    keep[np.flatnonzero(place)[told]] = True
                 texts.append("\n".join(t for (t, _, _), k in zip(lines, keep) if k))
             yield pa.RecordBatch.from_pydict({"page_id": b.column("page_id"), "url": b.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
 

@@ -335,6 +335,19 @@ def test_differencing_beside_and_inside_article(spark):
     assert "a story that is longer than both small articles are" in got[20]
 
 
+def test_differencing_of_copies_and_short_pages(spark):
+    frame = "<html><body>" + "".join(f"<div class=f{chr(97 + j)}><p>frame line {j}</p></div>" for j in range(12)) + "<div class=body><p>{}</p></div></body></html>"
+    rows = [(i, f"http://a.org/x/{i:02}", frame.format("the copied story")) for i in range(9)]
+    rows += [(20 + i, f"http://a.org/y/{i}", frame.format(f"short story {i}")) for i in range(4)]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {i: "the copied story" for i in range(9)} | {20 + i: f"short story {i}" for i in range(4)}
+    for tag in ("div", "article"):  # versions of one text keep it
+        story = [f"line {j} of the story" for j in range(20)]
+        rows = [(i, f"http://b.org/{i}", f"<html><body><{tag}><p>" + "</p><p>".join([*story, f"version {i}"]) + f"</p></{tag}></body></html>") for i in range(7)]
+        got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got == {i: "\n".join([*story, f"version {i}"]) for i in range(7)}
+
+
 def test_dropping_rows(spark, docs, empty):
     """Null and shared ids, repeated rows, and columns named like the operators' own."""
     schema = "doc_id long, text string, score string, key string, cls string, n string"
