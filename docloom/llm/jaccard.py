@@ -265,13 +265,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """All columns of the rows that speak for their component: those of the document with its least doc_id.
+    """All columns of the row that speaks for its component: least id (nulls last), then least row key.
 
-    Rows are told apart by id and text, so another text under the same id isn't touched. A row
-    without an id goes if it links with one that has an id, and stays otherwise; rows repeated under the least id
-    stay; texts without words are alone and stay; an empty table gives an empty result.
+    Rows are told apart by id and text, so another text under the same id is touched only if it
+    links. Rows repeated under an id that speaks are one document and stay; of rows without an id,
+    only one stays where no linked row has an id. Texts without words are alone and stay; an empty
+    table gives an empty result.
     """
-    return without(docs, row_components(docs).filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))))
+    rows, order = describe(docs)
+    classes, comps = link_classes(docs, rows, order)
+    least = rows.filter("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("s"))
+    named = least.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    of = named.join(named.groupBy("comp").agg(F.min("s").alias("speaks")), "comp").select("cls", "speaks")
+    lost = rows.join(of, "cls").filter(~(F.col("speaks.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("speaks.key") == F.col("key")))).select("doc_id", "key")
+    left = without(docs, settle(lost, "lost"))
+    # Left without an id are the texts that speak, each as often as it is repeated.
+    bare = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    return left.filter(~bare).unionByName(left.filter(bare).dropDuplicates(["text"]))
 
 
 def row_components(docs: DataFrame) -> DataFrame:

@@ -371,6 +371,17 @@ def test_dropping_rows(spark, docs, empty):
     assert all(f(empty).count() == 0 for f in (jaccard.drop_near_copies, lambda d: winnow.drop_hit(d, benchmark), lambda d: language.drop_unknown(d, net, 0.5)))
 
 
+def test_one_row_of_a_group(spark):
+    schema = "doc_id long, text string, n int"
+    rng = random.Random(9)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(40))
+    one, two, three = text(), text(), text()
+    rows = [(None, one, 1), (None, one, 2), (None, one + " x", 3), (7, two, 4), (7, two + " y", 5), (None, two, 6), (None, three, 7), (None, None, 8), (None, " ", 9), (None, " ", 10)]
+    got = [tuple(r) for r in jaccard.drop_near_copies(spark.createDataFrame(rows, schema).repartition(3)).collect()]
+    assert len([r for r in got if r[2] <= 3]) == 1 and len([r for r in got if 4 <= r[2] <= 6]) == 1
+    assert sorted(r[2] for r in got if r[2] > 6) == [7, 8, 9, 10] and [r[0] for r in got if 4 <= r[2] <= 6] == [7]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 
