@@ -11,7 +11,8 @@ from docloom.llm.common import lay_out, mod_of_id, text_pieces, utf8
 
 #: Units of each direction, bytes of a window, and windows that run side by side.
 UNITS, STEPS, SIDE = 8, 48, 4096
-#: Bounded training sample: documents a language, windows a document, most languages; and steps of training.
+#: Bounded training sample: documents a language, windows a document, languages that have so many (more
+#: languages share as many documents as these); and steps of training.
 DOCS_A_LANG, WINDOWS_A_DOC, LANGS, ROUNDS, BATCH, RATE = 800, 3, 256, 240, 256, 0.02
 
 
@@ -137,15 +138,16 @@ class Net:
 def train(docs: DataFrame, docs_a_lang: int = DOCS_A_LANG, rounds: int = ROUNDS) -> Net | None:
     """Learns from rows with a language and crc32(doc_id) mod 4 other than 2.
 
-    The sample has about ``docs_a_lang`` documents of each of the LANGS most frequent languages, by a
-    hash of the id, and WINDOWS_A_DOC windows of each; it goes to the driver and is bounded by these
-    three numbers, whatever the corpus.
+    The sample has about ``docs_a_lang`` documents of each language, by a hash of the id, and
+    WINDOWS_A_DOC windows of each; with more than LANGS languages, all of them share what LANGS would
+    have, with 2 documents each at least. It goes to the driver; no language is left out.
     """
     own = docs.filter((mod_of_id("doc_id", 4) != 2) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    n = {r.lang: r["count"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()}
+    n = {r.lang: r["count"] for r in own.groupBy("lang").count().collect()}
     if not n:
         return None
     langs = sorted(n)
+    docs_a_lang = max(min(2, docs_a_lang), min(docs_a_lang, docs_a_lang * LANGS // len(langs)))
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(23)), F.lit(1 << 30))
     share = F.create_map(*[F.lit(v) for x in langs for v in (x, int(min(1.0, docs_a_lang / n[x]) * (1 << 30)))])
     size = F.octet_length("text")

@@ -207,6 +207,12 @@ def test_language(spark, docs, empty):
     assert language.train(empty) is None and language.identify(empty, None).count() == 0
 
 
+def test_languages_beyond_256(spark):
+    rows = [(i, f"text number {i}", f"l{i % 300:03}", "s", 1, "n") for i in range(1200)]
+    net = language.train(spark.createDataFrame(rows, SCHEMA), rounds=1)
+    assert net.langs == [f"l{k:03}" for k in range(300)]
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     net = language.Net(["a", "b"], units=3)
