@@ -404,3 +404,49 @@ def test_pipeline(spark, tmp_path):
             assert kept.columns == docs.columns
     assert all(b <= a for a, b in zip(ids, ids[1:])) and len(ids[-1]) > 100
     assert ids[-1] == {r.doc_id for r in cp.run(spark, SF).collect()}
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """run() holds what line dedup, Jaccard join, decontamination and BPE in plain Python make of the rows that the trained net keeps."""
+    import corpus_pipeline as cp
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghilmnorstu", k=rng.randint(2, 7)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, text(14)) for i in range(4)]
+    bases = [text(60) for _ in range(5)]
+    texts = [text(60) for _ in range(30)] + ["", "123 456", "Subscribe now"]
+    for b in bases:
+        texts += [b, b.upper(), b + " zz", " ".join(b.split()[:40])]
+    texts += [text(20) + " " + x + " " + text(20) for _, x in items] + [text(20) + " " + " ".join(x.split()[:9]) for _, x in items]
+    rows = [(i, ("Subscribe now\n" if i % 3 == 0 else "") + ("Follow us\n" if i < 2 else "") + t, rng.choice(["en", "fr"]), f"s{i % 7}", 0, "n") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    left = {r.doc_id: (r.text, r.source) for r in cp.language_id(spark, docs, str(tmp_path)).collect()}
+    assert 40 < len(left) < len(rows)
+    sites, first = collections.defaultdict(set), {}
+    for i in sorted(left):
+        for line in left[i][0].split("\n"):
+            if line.strip(" "):
+                sites[line].add(left[i][1])
+                first.setdefault(line, i)
+    own = {i: "\n".join(x for x in t.split("\n") if len(sites[x]) < lines.SITES or first[x] == i) for i, (t, _) in left.items()}
+    own = {i: t for i, t in own.items() if t.strip(" ")}
+    groups = plain_components([(i, t) for i, t in own.items()])
+    one = {i: t for i, t in own.items() if groups[i][1] == i}
+    spans = {tuple(x.split()[k : k + 10]) for _, x in items for k in range(len(x.split()) - 9)}
+    clean = {}
+    for i, t in one.items():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+        if not any(tuple(w[k : k + 10]) in spans for k in range(len(w) - 9)):
+            clean[i] = t
+    assert len(left) > len(one) > len(clean) and any(own[i] != left[i][0] for i in own)
+    library = Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
+    expected = []
+    for i, t in clean.items():
+        ids = library.encode(t, add_special_tokens=False).ids
+        expected.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    got = cp.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(expected)
