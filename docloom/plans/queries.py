@@ -36,6 +36,10 @@ def esc(x: str) -> str:
     return f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
 
 
+def quoted(x: str) -> str:
+    return x.replace("'", "''")
+
+
 def text_sql(x: str) -> str:
     return f"replace(replace(replace(replace(regexp_replace({x}, '&([a-zA-Z#0-9]+;)', chr(1) || '\\1', 'g'), '&', '&amp;'), chr(1), '&'), '<', '&lt;'), '>', '&gt;')"
 
@@ -58,7 +62,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH piece AS (SELECT doc_id, pos, trim(line) AS p FROM ({LINE_SQL}) WHERE trim(line) <> ''),
 block AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, CASE WHEN starts_with(p, '# ') THEN 'h1' ELSE 'p' END AS tag, CASE WHEN starts_with(p, '# ') THEN substr(p, 3) ELSE p END AS p FROM piece),
 body AS (SELECT doc_id, count(*) AS n, string_agg('<' || tag || ' id="block-' || k || '">' || {esc('p')} || '</' || tag || '>' || chr(10), '' ORDER BY k) AS body FROM block GROUP BY doc_id)
-SELECT doc_id, CAST(coalesce(n, 0) AS INT) AS n_blocks, '{sinks.HEAD}' || 'Document ' || doc_id || '{sinks.STYLE}' || coalesce(body, '') || '{sinks.FOOT}' AS html FROM documents LEFT JOIN body USING (doc_id)""")
+SELECT doc_id, CAST(coalesce(n, 0) AS INT) AS n_blocks, '{sinks.HEAD}' || 'Document ' || doc_id || '{quoted(sinks.STYLE)}' || coalesce(body, '') || '{sinks.FOOT}' AS html FROM documents LEFT JOIN body USING (doc_id)""")
 def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain text to numbered blocks to standalone pages, native all through and without a shuffle."""
     docs = table(spark, sf_dir, "documents").select("doc_id", scans.paragraphs(F.col("text"), "\n").alias("raw"))

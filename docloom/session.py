@@ -22,3 +22,11 @@ def ship(spark: SparkSession) -> None:
             out.write(p, p.relative_to(root.parent))
     sc.addPyFile(path)
     sc._docloom_shipped = True
+
+
+def shipped(fn):
+    """``fn``, once the active session's executors have this package."""
+    spark = SparkSession.getActiveSession()
+    if spark:
+        ship(spark)
+    return fn
