@@ -16,18 +16,13 @@ ID = re.compile(r"[A-Za-z][A-Za-z0-9_-]*\Z", re.ASCII)
 ATTR = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 
 
+TAG_REST = re.compile(r"""(?>[^"'>]+|"[^"]*"|'[^']*')*+>""")
+
+
 def tag_end(html: str, start: int) -> int:
     """Just after the > that ends the tag at ``start``, past quoted values; -1 if it isn't there yet."""
-    quote = ""
-    for i in range(start + 1, len(html)):
-        c = html[i]
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "\"'":
-            quote = c
-        elif c == ">":
-            return i + 1
-    return -1
+    found = TAG_REST.match(html, start + 1)
+    return found.end() if found else -1
 
 
 def tags(html: str, start: int = 0):
@@ -98,6 +93,84 @@ def cut_blocks(buffer: str) -> tuple[list[str], str]:
     return out, buffer[at:]
 
 
+class Scanner:
+    """``cut_blocks`` over a text that comes in pieces: what was read of an open element is not read again.
+
+    ``held`` is the read part of the open element, ``tail`` what is still to be read, ``names`` the open
+    elements from the outside in and ``done`` how many finished children each has.
+    """
+
+    def __init__(self, held: str = "", tail: str = "", names: list[str] | None = None, done: list[int] | None = None):
+        self.held, self.tail, self.names, self.done = [held] if held else [], tail, names or [], done or []
+        self.size = len(held)
+
+    def state(self) -> list:
+        return ["".join(self.held), self.tail, self.names, self.done]
+
+    def rest(self) -> str:
+        return "".join([*self.held, self.tail])
+
+    def finished(self) -> int:
+        """Finished children of the open lists and tables, from the outside in as far as they are such."""
+        n = 0
+        for name, k in zip(self.names, self.done):
+            if name not in OPENABLE:
+                break
+            n += k
+        return n
+
+    def feed(self, text: str) -> list[str]:
+        """The elements that ``text`` finishes, and loose text before an element as a paragraph."""
+        self.tail += text
+        out: list[str] = []
+        while self.held or self.begin(out):
+            at, ended = 0, False
+            for name, closing, alone, _, end in tags(self.tail):
+                at = end
+                if not name:
+                    continue
+                if not closing and not alone and name not in VOID:
+                    self.names.append(name)
+                    self.done.append(0)
+                    continue
+                if closing and self.names:
+                    self.names.pop()
+                    self.done.pop()
+                if not self.names:
+                    ended = True
+                    break
+                self.done[-1] += 1
+            if at:
+                self.held.append(self.tail[:at])
+                self.tail = self.tail[at:]
+                self.size += at
+            if not ended:
+                break
+            out.append("".join(self.held))
+            self.held, self.size = [], 0
+        return out
+
+    def begin(self, out: list[str]) -> bool:
+        """Whether an element begins the tail, once loose text and stray end tags are off."""
+        while True:
+            self.tail = self.tail.lstrip(WS)
+            if not self.tail:
+                return False
+            if self.tail.startswith("</"):
+                end = tag_end(self.tail, 0)
+                if end == -1:
+                    return False
+                self.tail = self.tail[end:]
+            elif self.tail[0] == "<":
+                return bool(NAME.match(self.tail, 1)) or self.tail.startswith("<!--")
+            else:
+                tag = self.tail.find("<")
+                if tag == -1:
+                    return False
+                out.append(f"<p>{self.tail[:tag].strip(WS)}</p>")
+                self.tail = self.tail[tag:]
+
+
 def balanced_end(html: str) -> int:
     """End of the first element with end tags matched by name; -1 for anything else."""
     if not html.startswith("<") or html.startswith("<!"):

@@ -33,7 +33,8 @@ def live_events(events: DataFrame) -> DataFrame:
 def fold(events: DataFrame) -> DataFrame:
     """One snapshot per document: doc_id, seq, status, phase, blocks.
 
-    A block stands where it was appended and shows its last replacement after that. One shuffle, on
+    A block stands where it was appended and shows its last replacement after that; until one is
+    appended, the block ``loading`` stands, which can be replaced too. One shuffle, on
     doc_id: the window, the aggregation and the block list share it.
     """
     n = number(events)
@@ -44,16 +45,18 @@ def fold(events: DataFrame) -> DataFrame:
     shown = n.withColumn("__final", F.when(change, final)).withColumn("__html", F.when(F.col("__final.seq") > F.col("seq"), F.col("__final.html")).otherwise(F.col("html")))
     when = lambda c, x: F.max(F.when(c, x))
     kept = F.array_sort(F.collect_list(F.when(F.col("type") == "append", F.struct("seq", "id", F.col("__html").alias("html")))))
+    waiting = (F.col("type") == "replace") & (F.col("id") == LOADING)
     out = shown.groupBy("doc_id").agg(
         F.max("seq").alias("seq"),
         when(is_terminal(F.col("type")), F.col("type")).alias("end"),
         F.max_by(F.when(F.col("type") == "progress", F.col("phase")), F.when(F.col("type") == "progress", F.col("seq"))).alias("last"),
         when(F.col("type") == "error", F.col("message")).alias("message"),
         kept.alias("kept"),
+        F.max_by(F.when(waiting, F.col("html")), F.when(waiting, F.col("seq"))).alias("waiting"),
     )
     blocks = F.transform("kept", lambda b: F.struct(b.id.alias("id"), b.html.alias("html")))
     error = F.array(F.struct(F.lit(ERROR).alias("id"), F.concat(F.lit('<p id="error" class="error" role="alert">'), escape_html(F.coalesce("message", F.lit(""))), F.lit("</p>")).alias("html")))
-    loading = F.array(F.struct(F.lit(LOADING).alias("id"), F.lit(LOADING_HTML).alias("html")))
+    loading = F.array(F.struct(F.lit(LOADING).alias("id"), F.coalesce("waiting", F.lit(LOADING_HTML)).alias("html")))
     return out.select(
         "doc_id", "seq", F.coalesce("end", F.lit("running")).alias("status"),
         F.when(F.col("end") == "done", F.lit("Done")).when(F.col("end") == "error", F.lit("Failed")).otherwise(F.coalesce("last", F.lit("Starting"))).alias("phase"),
@@ -61,24 +64,50 @@ def fold(events: DataFrame) -> DataFrame:
     )
 
 
-def violations(events: DataFrame) -> DataFrame:
-    """(doc_id, pos, violation) of inputs that break the contract, checked before the fold as ``step`` does.
+def judged(events: DataFrame) -> DataFrame:
+    """``events`` with ``violation``: what the input breaks in the state before it, or null.
 
     An append or replace must be one complete element with its id on the root; an appended id must
-    be new, a replaced one must be there.
+    be new, a replaced one must be there. A new document shows the block ``loading`` until a block is
+    appended; a failed one shows the block ``error``. After the terminal event the state stays, and late
+    inputs are judged against it.
     """
     from docloom.operators.html import is_single_block
 
-    before = Window.partitionBy("doc_id", "id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    known = F.coalesce(F.max(F.when(F.col("type") == "append", 1)).over(before), F.lit(0)) == 1
-    rows = events.filter(F.col("type").isin("append", "replace")).withColumn("__known", known).withColumn("__single", is_single_block(F.col("html"), F.col("id")))
+    change = F.col("type").isin("append", "replace")
+    order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("doc_id", "id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = events.withColumn("__single", F.when(change, is_single_block(F.col("html"), F.col("id"))))
+    rows = rows.withColumn("__end", F.first(F.when(is_terminal(F.col("type")), F.col("type")), ignorenulls=True).over(order))
+    effective = (F.col("type") == "append") & F.col("__single") & F.col("__end").isNull()
+    rows = rows.withColumn("__latest", F.last(F.when(effective, F.col("id")), ignorenulls=True).over(order))
+    added = F.coalesce(F.max(F.when(effective, 1)).over(own), F.lit(0)) == 1
+    loading = F.col("__end").isNull() & (F.coalesce("__latest", F.lit(LOADING)) == LOADING)
+    failed = F.coalesce(F.col("__end") == "error", F.lit(False))
+    known = F.when(F.col("id") == LOADING, loading).otherwise(added | ((F.col("id") == ERROR) & failed))
     name = F.concat(F.lit("#"), F.col("id"))
     text = (
-        F.when(~F.col("__single"), F.concat(F.col("type"), F.lit(" "), name, F.lit(" must be one complete element whose root id is "), F.col("id")))
+        F.when(~change, F.lit(None).cast("string"))
+        .when(~F.col("__single"), F.concat(F.col("type"), F.lit(" "), name, F.lit(" must be one complete element whose root id is "), F.col("id")))
         .when((F.col("type") == "append") & F.col("__known"), F.concat(F.lit("duplicate block id "), name))
         .when((F.col("type") == "replace") & ~F.col("__known"), F.concat(F.lit("replace target "), name, F.lit(" does not exist")))
     )
-    return rows.select("doc_id", "pos", text.alias("violation")).filter("violation is not null")
+    return rows.withColumn("__known", known).withColumn("violation", text).drop("__single", "__end", "__latest", "__known")
+
+
+def violations(events: DataFrame) -> DataFrame:
+    """(doc_id, pos, violation) of inputs that break the contract (see ``judged``)."""
+    return judged(events).filter("violation is not null").select("doc_id", "pos", "violation")
+
+
+def step(events: DataFrame) -> DataFrame:
+    """The inputs up to the first that breaks the contract, which becomes the document's error event."""
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    bad = F.col("violation").isNotNull()
+    seen = F.coalesce(F.max(F.when(bad, 1)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = judged(events).withColumn("__seen", seen).filter("__seen = 0")
+    kept = [F.when(~bad, F.col(c)).alias(c) for c in ("id", "html", "phase")]
+    return rows.select("doc_id", "pos", F.when(bad, F.lit("error")).otherwise(F.col("type")).alias("type"), *kept, F.coalesce("violation", "message").alias("message"))
 
 
 def replay(log: DataFrame, after: int | Column = 0) -> DataFrame:

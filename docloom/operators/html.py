@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import lexer, sanitizer
 from docloom.functions.text import with_root_id, wrap_table
+from docloom.session import shipped
 
 
 def sanitize(html: Column, handlers: tuple = ()) -> Column:
@@ -66,6 +68,26 @@ def is_single_block(html: Column, ident: Column) -> Column:
     return run(html, ident)
 
 
+def normalize(html: Column) -> Column:
+    """Complete balanced elements of markup; what isn't degrades to its text."""
+
+    @F.arrow_udf("array<string>")
+    def run(col: pa.Array) -> pa.Array:
+        return pa.array([lexer.normalize(x or "") for x in col.to_pylist()], pa.list_(pa.string()))
+
+    return shipped(run)(html)
+
+
+def is_complete(html: Column) -> Column:
+    """Whether markup is one element, balanced by name."""
+
+    @F.arrow_udf("boolean")
+    def run(col: pa.Array) -> pa.Array:
+        return pa.array([lexer.is_complete(x or "") for x in col.to_pylist()], pa.bool_())
+
+    return shipped(run)(html)
+
+
 def provisional(rest: Column) -> Column:
     """struct<html, children> of an open container closed for now; null fields if nothing can be shown."""
 
@@ -83,7 +105,8 @@ def number_blocks(df: DataFrame, blocks: str = "blocks", ident: str = "doc_id")
     return rows.select(ident, "pos", name.alias("id"), with_root_id(wrap_table(F.col("raw")), name).alias("html"))
 
 
-def join_chunks(chunks: DataFrame) -> DataFrame:
-    """(doc_id, text): the chunks of each document in order. What is cut afterwards doesn't depend on chunk borders."""
+def join_chunks(chunks: DataFrame, *keys: str) -> DataFrame:
+    """(keys, text): the chunks of each document (or of each value of ``keys``) in order. What is cut afterwards doesn't depend on chunk borders."""
+    keys = keys or ("doc_id",)
     ordered = F.array_sort(F.collect_list(F.struct("chunk_seq", "delta")))
-    return chunks.groupBy("doc_id").agg(ordered.alias("parts")).select("doc_id", F.array_join(F.transform("parts", lambda x: x.delta), "").alias("text"))
+    return chunks.groupBy(*keys).agg(ordered.alias("parts")).select(*keys, F.array_join(F.transform("parts", lambda x: x.delta), "").alias("text"))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import html
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import escape_html
 
-UNIT = r"^[a-z][a-z-]{0,23}\z"
+UNIT = "[a-z][a-z-]{0,23}"
 
 
 def unit_of(unit: Column) -> Column:
-    return F.when(unit.rlike(UNIT), unit).otherwise(F.lit("part"))
+    return F.when(unit.rlike(rf"^{UNIT}\z"), unit).otherwise(F.lit("part"))
 
 
 def part_id(unit: Column, index: Column) -> Column:
@@ -28,8 +30,27 @@ def section(unit: Column, index: Column, total: Column, children: Column, error:
     label = F.concat(capital(unit), F.lit(" "), index.cast("string"), F.when(total > 1, F.concat(F.lit(" of "), total.cast("string"))).otherwise(F.lit("")))
     error = F.lit(None).cast("string") if error is None else error
     body = F.concat(F.array_join(children, ""), F.coalesce(tail, F.lit("")) if tail is not None else F.lit(""))
-    note = F.when(error.isNotNull() & (error != ""), F.concat(F.lit('<p class="error" role="alert">'), escape_html(error), F.lit("</p>"))).when(body == "", F.concat(F.lit('<p class="loading">Converting '), F.lower(label), F.lit("…</p>"))).otherwise(F.lit(""))
-    return F.concat(F.lit('<section id="'), part_id(unit, index), F.lit('" class="part" data-part="'), index.cast("string"), F.lit('" aria-label="'), label, F.lit('">'), body, note, F.lit("</section>"))
+    failed = F.concat(F.lit('<p class="error" role="alert">'), escape_html(error), F.lit("</p>"))
+    reading = F.concat(F.lit('<p class="loading">Converting '), F.lower(label), F.lit("…</p>"))
+    note = F.when(F.coalesce(error, F.lit("")) != "", failed).when(body == "", reading).otherwise(F.lit(""))
+    head = F.concat(F.lit('<section id="'), part_id(unit, index), F.lit('" class="part" data-part="'), index.cast("string"), F.lit('" aria-label="'), label, F.lit('">'))
+    return F.concat(head, body, note, F.lit("</section>"))
+
+
+def section_html(unit: str, index: int, total: int, children: list[str], error: str | None = None, tail: str = "") -> str:
+    """``section`` in plain Python, for streams that hold a part's state."""
+    label = f"{unit[:1].upper()}{unit[1:]} {index}" + (f" of {total}" if total > 1 else "")
+    body = "".join(children) + tail
+    if error:
+        body += f'<p class="error" role="alert">{html.escape(error).replace("&#x27;", "&#39;")}</p>'
+    elif not body:
+        body = f'<p class="loading">Converting {label.lower()}…</p>'
+    return f'<section id="{unit}-{index}" class="part" data-part="{index}" aria-label="{label}">{body}</section>'
+
+
+def failure(unit: str, index: int, reason: str) -> str:
+    """What stands in the place of a part that could not be converted."""
+    return f"{unit[:1].upper()}{unit[1:]} {index} could not be converted. {reason}"
 
 
 def plan(sources: DataFrame, mode: str = "auto", max_parts: int = 100) -> DataFrame:
@@ -51,7 +72,7 @@ def scaffold(sources: DataFrame) -> DataFrame:
     rows = sources.select("doc_id", unit.alias("unit"), F.col("count").alias("total"), F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("index"))
     none, null = F.array().cast("array<string>"), F.lit(None).cast("string")
     parts = rows.select("doc_id", F.col("index").cast("long").alias("pos"), F.lit("append").alias("type"), part_id(F.col("unit"), F.col("index")).alias("id"), section(F.col("unit"), F.col("index"), F.col("total"), none).alias("html"), null.alias("phase"), null.alias("message"))
-    note = sources.select("doc_id", (F.col("count") + 1).cast("long").alias("pos"), F.lit("progress").alias("type"), null.alias("id"), null.alias("html"), F.concat(F.lit("Converting "), F.col("count").cast("string"), F.lit(" "), unit, F.lit("s")).alias("phase"), null.alias("message"))
+    note = sources.select("doc_id", (F.col("count") + 1).cast("long").alias("pos"), F.lit("progress").alias("type"), null.alias("id"), null.alias("html"), F.concat(F.lit("Converting "), F.col("count").cast("string"), F.lit(" "), unit, F.when(F.col("count") == 1, F.lit("")).otherwise(F.lit("s"))).alias("phase"), null.alias("message"))
     return parts.unionByName(note)
 
 

@@ -1,13 +1,14 @@
-"""Session plumbing: the package on the executors."""
+"""Session plumbing: the package on the executors, and tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -30,3 +31,30 @@ def shipped(fn):
     if spark:
         ship(spark)
     return fn
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    A session in one process may be without: it gets a folder of its own. On a cluster that is an error,
+    as executors don't see each other's local folders.
+    """
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="docloom-"))
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame, name: str = "t", by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table (a folder for each value of ``by``) in the shared folder and read it back.
+
+    It cuts the lineage, so a lost executor costs a re-read and not a recomputation, and what made the
+    rows runs once however often they are used.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path, partitionBy=by)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,7 +1,8 @@
 """Page counts and single pages of simple PDF files, on the standard library alone.
 
-It follows the page tree of files with plain or compressed objects. What it can't follow (encryption
-of streams, damaged trees) is an error, which all modes but ``split`` tolerate.
+It follows the page tree of files with plain or compressed objects. Pages of an encrypted file keep its
+object numbers and its key's entries, so that a reader can still decrypt them. What can't be followed
+(a tree in encrypted streams, damage) is an error, which all modes but ``split`` tolerate.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
 REF = re.compile(rb"(\d+)\s+\d+\s+R\b")
 
 
+#: Ends a page's own object until its parent is known.
+PARENT = b" /Parent >>"
+
+
 class SplitError(ValueError):
     pass
 
@@ -22,6 +27,10 @@ class Pdf:
         if b"%PDF-" not in content[:1024]:
             raise SplitError("The file is not a PDF.")
         self.content = content
+        trailer = content[content.rfind(b"trailer") :] if b"trailer" in content else b""
+        encrypt, ident = re.search(rb"/Encrypt\s+(\d+)\s+(\d+)\s+R", trailer), re.search(rb"/ID\s*\[.*?\]", trailer, re.S)
+        self.encrypt = int(encrypt[1]) if encrypt else None
+        self.trailer = b" ".join(x[0] for x in (encrypt, ident) if x)
         self.objects = {int(m[1]): m[3].strip() for m in OBJECT.finditer(content)}
         for body in list(self.objects.values()):
             if re.search(rb"/Type\s*/ObjStm\b", body):
@@ -75,32 +84,36 @@ class Pdf:
             body = self.objects[number]
             if number == own:
                 body = re.sub(rb"/Parent\s+\d+\s+\d+\s+R", b"", body)
-                body = body[: body.rindex(b">>")] + inherited + b" /Parent 2 0 R >>"
+                body = body[: body.rindex(b">>")] + inherited + PARENT
             elif re.search(rb"/Type\s*/Pages?\b", body):
                 continue
             keep[number] = body
             todo += [int(x) for x in REF.findall(body.split(b"stream")[0])]
+        root, top = 1, 2
         shift = {old: k + 3 for k, old in enumerate(sorted(keep))}
-        shift[2] = shift.get(2, 2) if 2 in keep else 2
+        if self.encrypt is not None:  # the keys of strings and streams depend on the objects' numbers
+            keep |= {self.encrypt: self.objects.get(self.encrypt, b"null")}
+            root, top = max(self.objects) + 1, max(self.objects) + 2
+            shift = {old: old for old in keep}
+        parent = b" /Parent %d 0 R >>" % top
         out, places = bytearray(b"%PDF-1.5\n"), []
 
         def add(number: int, body: bytes) -> None:
             places.append((number, len(out)))
             out.extend(b"%d 0 obj\n%s\nendobj\n" % (number, body))
 
-        add(1, b"<< /Type /Catalog /Pages 2 0 R >>")
-        add(2, b"<< /Type /Pages /Kids [%d 0 R] /Count 1 >>" % shift[own])
+        add(root, b"<< /Type /Catalog /Pages %d 0 R >>" % top)
+        add(top, b"<< /Type /Pages /Kids [%d 0 R] /Count 1 >>" % shift[own])
         for old in sorted(keep):
             head, mark, tail = keep[old].partition(b"stream")
-            parent = b" /Parent 2 0 R >>"
-            fixed = REF.sub(lambda m: b"%d 0 R" % shift[int(m[1])] if int(m[1]) in shift else b"null", head.removesuffix(parent) if old == own else head)
+            fixed = REF.sub(lambda m: b"%d 0 R" % shift[int(m[1])] if int(m[1]) in shift else b"null", head.removesuffix(PARENT) if old == own else head)
             add(shift[old], (fixed + parent if old == own else fixed) + mark + tail)
         start = len(out)
         table = dict(places)
         out.extend(b"xref\n0 %d\n0000000000 65535 f \n" % (max(table) + 1))
         for number in range(1, max(table) + 1):
             out.extend(b"%010d 00000 n \n" % table[number] if number in table else b"0000000000 65535 f \n")
-        out.extend(b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (max(table) + 1, start))
+        out.extend(b"trailer\n<< /Size %d /Root %d 0 R %s >>\nstartxref\n%d\n%%%%EOF\n" % (max(table) + 1, root, self.trailer if self.encrypt is not None else b"", start))
         return bytes(out)
 
     def inherited(self, number: int) -> bytes:

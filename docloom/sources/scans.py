@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.session import shipped
 
 UPLOAD_TYPES = ("application/pdf", "image/png", "image/jpeg", "image/webp")
 UPLOAD_BYTES, FORM_BYTES = 50 << 20, 64 << 10
@@ -122,6 +124,45 @@ def part_prompt(unit: Column, index: Column, total: Column) -> Column:
     return F.when(unit.isNull(), F.lit(HTML_PROMPT)).otherwise(F.concat(F.lit(HTML_PROMPT + " This is "), unit, F.lit(" "), index.cast("string"), F.lit(" of "), total.cast("string"), F.lit(".")))
 
 
+UPLOAD = "content binary, media_type string, name string, mode string, api_key string, form_error string"
+
+
+def form_upload(body: bytes, content_type: str) -> tuple:
+    """The file and fields of a multipart form (see UPLOAD), or what is wrong with it."""
+    from email.parser import BytesParser
+    from email.policy import HTTP
+
+    form = BytesParser(policy=HTTP).parsebytes(b"Content-Type: " + content_type.encode() + b"\r\n\r\n" + body)
+    if not form.is_multipart() or form.defects:
+        return (None, None, None, None, None, "The form could not be read.")
+    fields = {p.get_param("name", header="content-disposition"): p for p in form.iter_parts()}
+    file = fields.get("file")
+    if file is None or file.get_filename() is None:
+        return (None, None, None, None, None, "Choose a file to upload.")
+    own = file.get_content_type() if "content-type" in file else T.MEDIA_TYPES.get(file.get_filename().rpartition(".")[2].lower(), "")
+    text = lambda name: fields[name].get_payload(decode=True).decode("utf-8", "replace") if name in fields else None
+    return (file.get_payload(decode=True), own.lower(), file.get_filename(), text("mode"), text("api_key"), None)
+
+
+def read_uploads(requests: DataFrame) -> DataFrame:
+    """``requests`` (content_type, body, x_filename, x_api_key, url) with the columns of UPLOAD: forms by their
+    fields, raw bodies by their headers and the address's mode. A form that can't be read has ``form_error``."""
+
+    @F.arrow_udf(UPLOAD)
+    def forms(body: pa.Array, kind: pa.Array) -> pa.Array:
+        rows = [form_upload(b or b"", k) if k else (None,) * 6 for b, k in zip(body.to_pylist(), kind.to_pylist())]
+        names = [x.split()[0] for x in UPLOAD.split(", ")]
+        columns = list(zip(*rows)) if rows else [()] * len(names)
+        return pa.StructArray.from_arrays([pa.array(c, pa.binary() if n == "content" else pa.string()) for c, n in zip(columns, names)], names=names)
+
+    base = F.lower(F.trim(F.split_part(F.coalesce("content_type", F.lit("")), F.lit(";"), F.lit(1))))
+    form = base == "multipart/form-data"
+    mode = F.regexp_extract("url", r"[?&]mode=([^&#]*)", 1)
+    raw = {"content": F.col("body"), "media_type": base, "name": F.try_url_decode("x_filename"), "mode": F.nullif(F.try_url_decode(mode), F.lit("")), "api_key": F.col("x_api_key"), "form_error": F.lit(None).cast("string")}
+    told = requests.withColumn("__form", shipped(forms)(F.col("body"), F.when(form, F.col("content_type"))))
+    return told.withColumns({c: F.when(form, F.col(f"__form.{c}")).otherwise(x) for c, x in raw.items()}).drop("__form")
+
+
 def check_upload(rows: DataFrame, types: tuple[str, ...] = UPLOAD_TYPES, most: int = UPLOAD_BYTES, key_needed: bool = False) -> DataFrame:
     """Adds status and message (null: accepted) to uploads: site, content_length, form_error, media_type, content, api_key.
 

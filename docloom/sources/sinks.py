@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import html
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +73,7 @@ def viewer_html(title: Column, status: Column, phase: Column, blocks: Column) ->
 
 
 def save(snapshots: DataFrame, path: str) -> None:
-    """Stores terminal snapshots by the day they finished; a day can be dropped as a folder."""
+    """Stores terminal snapshots by the day they finished; ``expire`` drops days as folders."""
     done = snapshots.filter(F.col("status") != "running")
     if "finished_on" not in done.columns:
         done = done.withColumn("finished_on", F.current_date())
@@ -81,6 +85,36 @@ def load(spark, path: str, days: int = RETENTION_DAYS) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("finished_on") >= F.date_sub(F.current_date(), days))
 
 
+def expire(spark, path: str, days: int = RETENTION_DAYS) -> int:
+    """Deletes the folders of days beyond retention; how many there were."""
+    sc = spark.sparkContext
+    top = sc._jvm.org.apache.hadoop.fs.Path(path)
+    files = top.getFileSystem(sc._jsc.hadoopConfiguration())
+    oldest = spark.range(1).select(F.date_sub(F.current_date(), days).cast("string")).first()[0]
+    names = [f.getPath() for f in files.listStatus(top) if f.getPath().getName().startswith("finished_on=")]
+    old = [x for x in names if x.getName().partition("=")[2] < oldest]
+    return sum(files.delete(x, True) for x in old)
+
+
+def landing_html(title: str, action: str, types: tuple[str, ...]) -> str:
+    """A page with a form for uploads, without scripts."""
+    kinds = html.escape(",".join(types))
+    form = f'<form method="post" action="{html.escape(action)}" enctype="multipart/form-data"><label>File <input type="file" name="file" accept="{kinds}" required></label><label>API key <input type="password" name="api_key" autocomplete="off"></label><button>Convert</button></form>'
+    return f"{HEAD}{html.escape(title)}{STYLE}<h1>{html.escape(title)}</h1>\n{form}\n{FOOT}"
+
+
+def message_html(title: str, message: str) -> str:
+    """A page that says what happened."""
+    return f'{HEAD}{html.escape(title)}{STYLE}<h1>{html.escape(title)}</h1>\n<p role="alert">{html.escape(message)}</p>\n{FOOT}'
+
+
+def content_policy() -> str:
+    """What the pages may load: their own styles by hash, images, and forms to where they come from."""
+    style = STYLE[STYLE.index("<style>") + 7 : STYLE.index("</style>")]
+    digest = base64.b64encode(hashlib.sha256(style.encode()).digest()).decode()
+    return f"default-src 'none'; style-src 'sha256-{digest}'; img-src https: http:; form-action 'self'; base-uri 'none'; frame-ancestors 'none'"
+
+
 def write_pages(documents: DataFrame, path: str, title: str = "title") -> None:
     """One HTML file's text per row, as Spark's text format."""
     documents.select(document_html(F.col(title), F.col("blocks")).alias("value")).write.mode("overwrite").option("lineSep", "\n").text(path)

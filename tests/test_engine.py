@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import convert, fold
+from docloom.sources import sinks
 from docloom.sources.pdf import simple_pdf
 from docloom.sources.registry import function_parser
 
@@ -35,10 +36,41 @@ def test_convert_modes(spark):
     assert "Title 1" in got["pdf"].blocks[0].html and "Page 2 could not be converted. model is down" in got["pdf"].blocks[1].html
     assert "script" not in got["pdf"].blocks[2].html and got["pdf"].status == "done"
     assert [b.html for b in got["png"].blocks] == ['<h1 id="block-1">Title None</h1>', '<p id="block-2">text</p>']
+    assert calls.value == 6  # two parts and the whole source once, the failing part once and twice anew
     limited = {r.doc_id: r for r in convert.render(sources, parser, convert.Options(max_parts=2)).collect()}
     assert limited["pdf"].status == "error" and "the limit is 2" in limited["pdf"].blocks[0].html
 
 
+def test_harmless_sources(spark):
+    sources = spark.createDataFrame([("a\x00b", bytearray(b"caf\xff\n\n# ok"), "text/plain", "a"), ("c", bytearray(b""), "text/plain", "c")], "doc_id string, content binary, media_type string, name string")
+    got = {r.doc_id: r for r in convert.render(sources, "plain_text").collect()}
+    assert [b.html for b in got["a\x00b"].blocks] == ['<p id="block-1">caf\ufffd</p>', '<h1 id="block-2">ok</h1>']
+    assert (got["c"].status, got["c"].blocks) == ("done", [])
+    rows = function_parser(lambda c, m, p: iter(["x", "", "y"]))(sources.limit(1)).collect()
+    assert [(r.chunk_seq, r.delta, r.is_last) for r in rows] == [(0, "x", False), (1, "y", False), (2, "", True)]
+
+
+def test_failed_sessions(spark, tmp_path):
+    sources = spark.createDataFrame([("s", bytearray(b"x"), "image/png", "a")], "doc_id string, content binary, media_type string, name string")
+
+    def broken(rows):
+        raise RuntimeError("no parser today")
+
+    got = convert.run_sessions(sources, str(tmp_path / "store"), broken).collect()
+    assert [(r.doc_id, r.status, r.blocks[0].html) for r in got] == [("s", "error", '<p id="error" class="error" role="alert">no parser today</p>')]
+    assert sinks.load(spark, str(tmp_path / "store")).count() == 1
+
+
+def test_step_ends_documents(spark):
+    p = lambda i: f'<p id="{i}">x</p>'
+    rows = [("d", 1, "replace", "loading", p("loading"), None, None), ("d", 2, "append", "a", p("a"), None, None), ("d", 3, "replace", "loading", p("loading"), None, None), ("d", 4, "append", "b", p("b"), None, None)]
+    rows += [("e", 1, "append", "loading", p("loading"), None, None), ("f", 1, "replace", "loading", p("loading"), None, None)]
+    got = {r.doc_id: r for r in fold.fold(fold.step(spark.createDataFrame(rows, "doc_id string, pos long, type string, id string, html string, phase string, message string"))).collect()}
+    assert got["d"].status == "error" and [b.id for b in got["d"].blocks] == ["a", "error"] and "replace target #loading does not exist" in got["d"].blocks[1].html
+    assert "duplicate block id #loading" in got["e"].blocks[0].html
+    assert (got["f"].status, got["f"].blocks[0].html) == ("running", p("loading"))
+
+
 def load_queries():
     import __spark_entry__ as entry
     from docloom.plans.queries import QUERIES
@@ -46,7 +78,7 @@ def load_queries():
     return entry, QUERIES
 
 
-@pytest.mark.parametrize("name", ["text_documents", "layout_html", "markdown_blocks", "event_snapshots", "event_frames", "part_sections", "candidate_streams", "upload_checks", "conversation_documents"])
+@pytest.mark.parametrize("name", ["text_documents", "layout_html", "markdown_blocks", "event_snapshots", "event_frames", "event_steps", "event_gaps", "part_sections", "candidate_streams", "upload_checks", "conversation_documents", "convert_documents", "split_limits", "live_parts", "model_layout", "model_markdown", "http_requests", "markdown_cuts", "snapshot_bodies", "stored_sessions", "upload_bodies"])
 def test_query_equals_sql(spark, name):
     entry, queries = load_queries()
     con = duckdb.connect()

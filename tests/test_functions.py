@@ -10,8 +10,9 @@ from docloom.functions import lexer, marks
 from docloom.functions import markdown as M
 from docloom.functions import text as T
 from docloom.functions.sanitizer import handler, sanitize, text_handler
+from docloom.sources import sinks
 from docloom.sources.pdf import Pdf, SplitError, simple_pdf
-from docloom.streaming.live import Cutter, advance, paints
+from docloom.streaming.live import Cutter, Document, advance, paints
 
 
 def one(spark, *columns):
@@ -96,6 +97,59 @@ def test_advance_orders_and_ignores_repeats():
     assert advance(state, [(3, "<p>late</p>", False)])[1] == []
 
 
+def test_live_parts():
+    """Rows of an open table are shown as they finish, a later attempt starts anew, and silence ends a part in its place."""
+    doc = Document()
+    doc.start("page", 3)
+    assert [e["type"] for e in doc.events] == ["append"] * 3 + ["progress"] and "Converting page 2 of 3" in doc.events[1]["html"]
+    doc.chunk(1, 0, "<table><tr><td>a</td></tr><tr><td>b", False, 0, None, 0)
+    assert doc.events[-1]["html"].endswith("<table><tr><td>a</td></tr></table></div></section>")
+    doc = Document(doc.saved())
+    doc.chunk(1, 0, "<p>again</p>", False, 1, None, 10)
+    doc.chunk(1, 2, "", True, 1, None, 20)
+    doc.chunk(1, 1, "tail", False, 1, None, 30)
+    doc.chunk(1, 1, "late", False, 0, None, 40)
+    assert doc.events[-1]["html"].endswith('of 3"><p>again</p><p>tail</p></section>')
+    doc.chunk(2, 0, "", False, 0, "model is down", 50)
+    assert "Page 2 could not be converted. model is down" in doc.events[-1]["html"] and not doc.done
+    doc.silent(90_049, 90_000)
+    assert doc.done and "Page 3 could not be converted. page 3 produced no output for 90s." in doc.events[-2]["html"] and doc.events[-1]["type"] == "done"
+
+
+def test_silent_documents():
+    doc = Document()
+    doc.start(None, None)
+    doc.chunk(0, 0, "<p>a</p>", False, 0, None, 1_000)
+    doc.silent(60_000, 90_000)
+    assert not doc.done and doc.next_idle(60_000, 90_000) == 31_000
+    doc.silent(91_000, 90_000)
+    assert doc.events[-1]["message"] == "The parser produced no output for 90s." and doc.done
+
+
+def test_open_tables_are_read_once():
+    scanner, size = lexer.Scanner(), []
+    scanner.feed("<table>")
+    for i in range(3000):
+        scanner.feed(f"<tr><td>{i}</td></tr>")
+        size.append(len(scanner.tail))
+    assert scanner.finished() == 3000 and max(size) == 0
+    assert len(scanner.feed("</table>")) == 1
+
+
+def test_encrypted_pdf_keeps_numbers():
+    plain = simple_pdf([(200, 200), (300, 400)])
+    locked = plain.replace(b"trailer\n<<", b"9 0 obj\n<< /Filter /Standard /V 1 >>\nendobj\ntrailer\n<< /Encrypt 9 0 R /ID [<01> <01>]")
+    page = Pdf(locked).page(2)
+    assert b"4 0 obj" in page and b"/Encrypt 9 0 R" in page and b"/ID [<01> <01>]" in page and b"9 0 obj" in page
+    assert len(Pdf(page).pages) == 1
+
+
+def test_upload_pages():
+    page = sinks.landing_html("Docs & more", "/s", ("image/png",))
+    assert "Docs &amp; more" in page and 'accept="image/png"' in page and "script" not in page
+    assert '<p role="alert">a &lt; b</p>' in sinks.message_html("t", "a < b") and "'sha256-" in sinks.content_policy()
+
+
 def test_paints():
     assert paints([(0, 10), (50, 100), (130, 100), (2000, 101), (2010, 102)]) == [0, 2, 3, 4]
 
@@ -165,7 +219,7 @@ def test_layout_elements(spark, label, content, html):
 
 
 def test_inline_marks():
-    assert marks.inline(" a*b*c (*d*) _e f_ *g * **h** ") == "a*b*c (<em>d</em>) <em>e f</em> *g * <strong>h</strong>"
+    assert marks.inline(" a*b*c (*d*) _e f_ *g * **h** ") == "a*b*c (<em>d</em>) <em>e f</em> <em>g </em> <strong>h</strong>"
     assert marks.inline("``x`y` &#39; &nope & <i>") == "`<code>x</code>y` &#39; &amp;nope &amp; &lt;i&gt;"
     assert marks.inline("[x](ftp://a) [[y](https://b.test) [](http://c) [z](https://)") == '[x](ftp://a) <a href="https://b.test">[y</a> [](http://c) [z](https://)'
     assert marks.inline("`_a_`") == "<code>_a_</code>" and marks.inline("***b**") == "*<strong>b</strong>"
