@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +10,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.session import ship
+from docloom.session import settle, ship  # noqa: F401
 
 # The white space of the token contracts: space and the five controls from tab to carriage return.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -24,30 +22,14 @@ LOWER[65:91] += 32
 #: Rows of an Arrow batch.
 BATCH_ROWS = 500
 
+#: Rows of ids and hashes that may be broadcast: a few tens of MB.
+SMALL = 250_000
+
 #: Multiplier of the polynomial word hash and its inverse modulo 2**64.
 WORD_MUL = 0x9E3779B97F4A7C15
 WORD_INV = pow(WORD_MUL, -1, 1 << 64)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; sets one only where the session has none."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-"))
-    return sc.getCheckpointDir()
-
-
-def settle(df: DataFrame, name: str = "t", by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as a Parquet table (a folder for each value of ``by``) in the shared folder and read it back.
-
-    It cuts the lineage, so a lost executor costs a re-read and not a recomputation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, partitionBy=by)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def forget(settled: DataFrame, but: str = "") -> None:
     """Deletes the files of a settled table, except in the folder ``but``."""
     sc = settled.sparkSession.sparkContext
@@ -71,10 +53,15 @@ def row_key(text: str = "text", ident: str = "doc_id"):
     return F.xxhash64(F.col(ident).cast("string"), F.col(text))
 
 
-def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id and row key aren't among ``lost`` (doc_id, key); a null id equals itself."""
+def without(docs: DataFrame, lost: DataFrame, small: int = SMALL) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and row key aren't among ``lost`` (doc_id, key); a null id equals itself.
+
+    Up to ``small`` lost rows are told to every task, so no text is moved; beyond it both sides are shuffled.
+    """
     gone = lost.select(F.col("doc_id").alias("__d"), F.col("key").alias("__k")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (row_key() == F.col("__k")), "left_anti")
+    told = gone.limit(small + 1).count() <= small
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (row_key() == F.col("__k"))
+    return docs.join(F.broadcast(gone) if told else gone, same, "left_anti")
 
 
 def mod_of_id(ident: str, n: int):
@@ -177,16 +164,15 @@ def sum_vectors(df: DataFrame, keys: list[str], dtype: str = "int64") -> DataFra
     spec = [(f.name, f.dataType.simpleString()) for f in df.schema if f.name in keys]
     schema = ", ".join(f"{a} {b}" for a, b in spec) + ", part long, vec binary"
 
-    def add(pdf):
+    def add(rows: pa.Table) -> pa.Table:
         total = None
-        for v in pdf["vec"]:
-            x = unpack(v, dtype)
+        for v in rows.column("vec"):
+            x = unpack(v.as_py(), dtype)
             total = x.copy() if total is None else total + x
-        out = pdf.iloc[:1][[*keys, "part"]].copy()
-        out["vec"] = [pack(total)]
-        return out
+        one = rows.slice(0, 1).select([*keys, "part"])
+        return one.append_column("vec", pa.array([pack(total)], pa.binary()))
 
     fan_in = max(4, math.isqrt(df.rdd.getNumPartitions()))
     parts = df.select(*keys, F.col("part").cast("long").alias("part"), "vec")
-    level = parts.withColumn("part", F.col("part") % fan_in).groupBy(*keys, "part").applyInPandas(add, schema)
-    return level.withColumn("part", F.lit(0).cast("long")).groupBy(*keys).applyInPandas(add, schema).drop("part")
+    level = parts.withColumn("part", F.col("part") % fan_in).groupBy(*keys, "part").applyInArrow(add, schema)
+    return level.withColumn("part", F.lit(0).cast("long")).groupBy(*keys).applyInArrow(add, schema).drop("part")
