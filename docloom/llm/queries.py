@@ -32,7 +32,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cascade.filter_urls(table(spark, sf_dir, "pages"), cascade.by_label())
+    return cascade.filter_urls(table(spark, sf_dir, "pages"), cascade.by_host())
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ WITH part AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, i
 url AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), {AZ}) AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM part),
 rule(h, p, v) AS (VALUES {RULES_SQL}),
 fit AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM url JOIN rule ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN len(list_intersect(string_split(host, '.'), [{", ".join(f"'{x}'" for x in cascade.LISTED_LABELS)}])) > 0 THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN regexp_matches(host, '{cascade.LISTED_HOST}') THEN 'block' ELSE 'allow' END) AS verdict
 FROM url LEFT JOIN fit USING (page_id)""",
     "op6_line_dedup": f"""
 WITH line AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos FROM documents),
