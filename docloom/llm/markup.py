@@ -17,7 +17,7 @@ ASIDE = frozenset("nav header footer aside menu".split())
 #: Elements that hold the main text.
 MAIN = frozenset("article main".split())
 #: Elements inside a line of text; all others end the line.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark meter q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark meter q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr img br".split())
 #: Elements that end an open paragraph, and those that a start tag of the same group ends.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 GROUPS = ({"li"}, {"dt", "dd"}, {"tr"}, {"td", "th"}, {"option"}, {"thead", "tbody", "tfoot"})
@@ -26,7 +26,7 @@ BESIDE = frozenset("ad ads adv advert adverts advertisement advertising banner s
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>])*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
-SPACE = re.compile(r"[ \t\n\r\f\v]+")
+SPACE = re.compile(r"[ \t\n\r\f\v\u00a0]+")
 DIGITS = re.compile("[0-9]+")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -56,8 +56,8 @@ def mark(attributes: str) -> str:
 def lines_of(page: str) -> list[tuple[str, str, int]]:
     """(text, path, place) of each line in page order.
 
-    A line is the text between two block borders, with character references decoded, white space
-    turned into single spaces, and trimmed; empty lines are left out. The path names the block
+    A line is the text between two block borders, with character references decoded, white space (br and
+    no-break spaces too) turned into single spaces, and trimmed; empty lines are left out. The path names the block
     elements around it, with their classes. place is 0 beside the main text, 2 inside an article or main element, else 1.
     """
     out: list[tuple[str, str, int]] = []
@@ -122,7 +122,9 @@ def lines_of(page: str) -> list[tuple[str, str, int]]:
                 silent.append(name)
             continue
         if name in VOID:
-            if name not in INLINE:
+            if name == "br":
+                words.append(" ")
+            elif name not in INLINE:
                 flush()
             continue
         if name in SILENT:
@@ -154,7 +156,7 @@ def lines_of(page: str) -> list[tuple[str, str, int]]:
                             break
             blocks.append(name + mark(found[3]))
         s = int(beside(name, found[3] or ""))
-        m = int(name in MAIN or "role=\"main\"" in (found[3] or ""))
+        m = int(name in MAIN or "role" in found[3] and any(k.lower() == "role" and (a or b or c).lower() == "main" for k, a, b, c in ATTR.findall(found[3])))
         side, main = side + s, main + m
         stack.append((name, s, m))
     flush()

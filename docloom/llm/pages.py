@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import deque
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -97,10 +98,13 @@ LINE = np.dtype([("hash", "<i8"), ("path", "<i8"), ("chars", "<i4"), ("place", "
 
 def packed(page: str) -> np.ndarray:
     """The body lines of a page: those that don't stand beside the main text."""
+    return packed_lines([x for x in lines_of(page) if x[2]])
+
+
+def packed_lines(lines: list[tuple[str, str, int]]) -> np.ndarray:
     import xxhash
 
-    rows = [(xxhash.xxh3_64_intdigest(t) - (1 << 63), xxhash.xxh3_64_intdigest(p) - (1 << 63), len(t), k) for t, p, k in lines_of(page) if k]
-    return np.array(rows, LINE)
+    return np.array([(xxhash.xxh3_64_intdigest(t) - (1 << 63), xxhash.xxh3_64_intdigest(p) - (1 << 63), len(t), k) for t, p, k in lines], LINE)
 
 
 def class_of(site: str | None, lines: np.ndarray) -> int:
@@ -117,92 +121,83 @@ def keep_lists(pages: DataFrame) -> DataFrame:
     A page's record is its line hashes, not its text. Pages of a host with equal body lines are one
     class, which stands under the least path of its pages; classes are paired, so that a run of copies
     of any length meets other pages, and every page of a class gets the same. The classes' records are dealt out by ranges of host, path
-    and id, so a host of any size is spread over many tasks; each task pairs the pages of its range,
-    and the edge records of all ranges (2 * REACH each) stand in for the ranges next to it.
+    and id, so a host of any size is spread over many tasks. Each task pairs the records whose neighbours are its own;
+    those within REACH of a border between two ranges are paired with their neighbours on both sides, a border at a time.
+    The driver gets the number of each range's records alone.
     """
     def pack(batches):
         for b in batches:
             lines = [packed(x or "") for x in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_pydict({c: b.column(c) for c in ("key", "host", "path")} | {"cls": pa.array([class_of(h, x) for h, x in zip(b.column("host").to_pylist(), lines)], pa.int64()), "lines": pa.array([x.tobytes() for x in lines], pa.binary())})
 
-    record = "key long, host string, path string, lines binary"
     packs = pages.select(F.xxhash64(F.col("page_id").cast("string"), "url", "html").alias("key"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "html").mapInArrow(pack, "key long, host string, path string, cls long, lines binary")
     all_ = settle(packs, "lines")
     rows = all_.groupBy("cls").agg(F.first("host").alias("host"), F.min("path").alias("path"), F.first("lines").alias("lines")).select(F.col("cls").alias("key"), "host", "path", "lines")
     # checkpoint() keeps partitions and their order as they are.
     dealt = rows.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key").checkpoint()
 
-    def edges(batches):
+    def count(batches):
         from pyspark import TaskContext
 
-        first, last = [], deque(maxlen=REACH)
-        for b in batches:
-            for r in b.to_pylist():
-                if len(first) < REACH:
-                    first.append(r)
-                last.append(r)
-        rows = [{"part": TaskContext.get().partitionId(), "side": s, **r} for s, x in ((0, first), (1, list(last))) for r in x]
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), ("side", pa.int32()), ("key", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.binary())]))
-
-    # At most 2 * REACH records a partition.
-    rim = sorted(dealt.mapInArrow(edges, "part int, side int, " + record).collect(), key=lambda r: (r.part, r.side, r.host, r.path, r.key))
-    heads: dict = {}
-    tails: dict = {}
-    for r in rim:
-        (tails if r.side else heads).setdefault(r.part, []).append((r.key, r.host, r.path, bytes(r.lines)))
+        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [sum(b.num_rows for b in batches)]})
 
-    def pair(batches):
-        from pyspark import TaskContext
+    sizes = {r.part: r.n for r in dealt.select("key").mapInArrow(count, "part long, n long").collect()}
+    first, borders, total = {}, [], 0
+    for part in sorted(sizes):
+        first[part] = total
+        if sizes[part] and total:
+            borders.append(total)
+        total += sizes[part]
+    borders = np.array(borders, np.int64)
 
-        here = TaskContext.get().partitionId()
-        real = lambda x: (*x[:3], np.frombuffer(x[3], LINE))
-        before = [x for p in sorted(tails) if p < here for x in tails[p]][-REACH:]
-        after = [x for p in sorted(heads) if p > here for x in heads[p]][:REACH]
+    def near(rank: int, reach: int) -> list[int]:
+        """Borders less than ``reach`` places from a record: the record after a border has the border's number."""
+        return borders[np.searchsorted(borders, rank - reach, "right") : np.searchsorted(borders, rank + reach, "right")].tolist()
 
-        def stream():
-            for x in before:
-                yield real(x), False
-            for b in batches:
-                for r in b.to_pylist():
-                    yield real((r["key"], r["host"], r["path"], r["lines"])), True
-            for x in after:
-                yield real(x), False
+    def judged(page: tuple, others: list[tuple]):
+        """(key, places kept), or None if nothing but the tags decides."""
+        lines = page[3]
+        if not len(lines):
+            return None
+        args = lines["place"], lines["path"].tolist(), lines["chars"]
+        keep = kept_lines(*args, partner(page, [x for x in others if x[1] == page[1]]))
+        return (page[0], np.flatnonzero(keep).astype(np.int32)) if (keep != kept_lines(*args, None)).any() else None
 
-        out = []
+    schema = pa.schema([("key", pa.int64()), ("kept", pa.list_(pa.int32())), ("border", pa.int64()), ("rank", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.binary())])
 
-        def settle_one(window, i):
-            page, mine = window[i]
-            if not mine or not len(page[3]):
-                return
-            near = [w for w, _ in (window[k] for k in range(max(0, i - REACH), min(len(window), i + REACH + 1)) if k != i) if w[1] == page[1]]
-            shared = partner(page, near)
-            lines = page[3]
-            keep = kept_lines(lines["place"], lines["path"].tolist(), lines["chars"], shared)
-            plain = kept_lines(lines["place"], lines["path"].tolist(), lines["chars"], None)
-            if (keep != plain).any():
-                out.append((page[0], np.flatnonzero(keep).astype(np.int32)))
-
-        def batch():
-            made = pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in out], pa.int64()), "kept": pa.array([g for _, g in out], pa.list_(pa.int32()))})
-            out.clear()
-            return made
+    def pair(batches):
+        from pyspark import TaskContext
 
+        rank = first.get(TaskContext.get().partitionId(), 0)
         window: deque = deque(maxlen=2 * REACH + 1)
-        for x in stream():
-            window.append(x)
-            if len(window) == 2 * REACH + 1:
-                settle_one(window, REACH)
-            elif len(window) > REACH:
-                settle_one(window, len(window) - 1 - REACH)
-            if len(out) >= 1000:
-                yield batch()
-        for i in range(max(0, len(window) - REACH), len(window)):
-            settle_one(window, i)
-        yield batch()
-
+        out = []
+        for r in chain((r for b in batches for r in b.to_pylist()), [None] * REACH):
+            if r is not None:
+                out += [r | {"border": x, "rank": rank} for x in near(rank, 2 * REACH)]
+                r = rank, (r["key"], r["host"], r["path"], np.frombuffer(r["lines"], LINE))
+                rank += 1
+            window.append(r)
+            middle = window[-1 - REACH] if len(window) > REACH else None
+            if middle and not near(middle[0], REACH):
+                told = judged(middle[1], [x[1] for x in window if x and x is not middle])
+                out += [{"key": told[0], "kept": told[1]}] if told else []
+            if len(out) >= 500:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+    def pair_at_border(rows: pa.Table) -> pa.Table:
+        known = sorted((r["rank"], (r["key"], r["host"], r["path"], np.frombuffer(r["lines"], LINE))) for r in rows.to_pylist())
+        border = rows.column("border")[0].as_py()
+        own = [(i, x) for i, x in known if near(i, REACH)[:1] == [border]]
+        told = [t for i, x in own if (t := judged(x, [y for j, y in known if j != i and abs(j - i) <= REACH]))]
+        return pa.table({"key": pa.array([k for k, _ in told], pa.int64()), "kept": pa.array([x for _, x in told], pa.list_(pa.int32()))})
+
+    every = settle(dealt.mapInArrow(pair, "key long, kept array<int>, border long, rank long, host string, path string, lines binary"), "paired")
+    inner = every.filter("border is null").select("key", "kept")
+    told = inner.unionByName(every.filter("border is not null").groupBy("border").applyInArrow(pair_at_border, "key long, kept array<int>"))
     # A class may have any number of pages, so its result is joined on as many salts.
-    salted = dealt.mapInArrow(pair, "key long, kept array<int>").select(F.col("key").alias("cls"), "kept", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = told.select(F.col("key").alias("cls"), "kept", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     return all_.select("key", "cls", F.pmod("key", F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["cls", "salt"]).select("key", "kept")
 
 
