@@ -4,29 +4,34 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import lay_out, mod_of_id, text_pieces, utf8
 
-#: Units of each direction, bytes of a window, and windows that run side by side.
-UNITS, STEPS, SIDE = 8, 48, 4096
-#: Bounded training sample: documents a language, windows a document, languages that have so many (more
-#: languages share as many documents as these); and steps of training.
-DOCS_A_LANG, WINDOWS_A_DOC, LANGS, ROUNDS, BATCH, RATE = 800, 3, 256, 240, 256, 0.02
+#: Units of each direction; bytes of a text that are labelled together, the bytes on either side that are read with them
+#: so that a state is never begun anew in mid-text, and how many such stretches run side by side.
+UNITS, STEPS, WARM, SIDE = 8, 1024, 48, 4096
+#: Bounded training sample: bytes of whole texts a language, languages that have so many (more languages share as
+#: many together), and the least documents of each; then steps of training, texts in each, bytes of each, and rate.
+BYTES_A_LANG, LANGS, LEAST_DOCS, ROUNDS, BATCH, STRETCH, RATE = 1_000_000, 256, 2, 240, 144, 96, 0.02
 
 
-def windows(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All whole texts as windows of ``steps`` bytes: bytes (windows, steps), how many are the text's, and the text's number."""
+def stretches(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int = STEPS, warm: int = WARM):
+    """All whole texts in stretches of ``steps`` bytes with up to ``warm`` bytes of the text before and after.
+
+    Bytes (stretches, at most steps + 2 * warm), how many are the text's, which of them are to be labelled
+    (from, to), and the text's number.
+    """
     n = -(-(ends - starts) // steps)
     text = np.repeat(np.arange(len(starts)), n)
-    first = np.cumsum(n) - n
-    begin = starts[text] + (np.arange(len(text)) - first[text]) * steps
-    size = np.minimum(ends[text] - begin, steps)
-    at = begin[:, None] + np.arange(steps)
+    begin = starts[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * steps
+    low, high = np.maximum(begin - warm, starts[text]), np.minimum(begin + steps + warm, ends[text])
+    size = high - low
+    at = low[:, None] + np.arange(int(size.max(initial=1)))
     rows = buf[np.minimum(at, len(buf) - 1)]
-    rows[np.arange(steps) >= size[:, None]] = 0
-    return rows, size, text
+    rows[np.arange(rows.shape[1]) >= size[:, None]] = 0
+    return rows, size, begin - low, np.minimum(begin + steps, ends[text]) - low, text
 
 
 def sigmoid(x):
@@ -45,43 +50,55 @@ class Net:
             self.p |= {"x" + d: w(3 * units, 256, s=0.3), "g" + d: w(2 * units, units, s=units**-0.5), "c" + d: w(units, units, s=units**-0.5), "o" + d: w(len(langs), units, s=units**-0.5)}
         self.p["bias"] = np.zeros((len(langs), 1), np.float32)
 
-    def direction(self, d: str, x: np.ndarray, live: np.ndarray, keep: bool = False):
-        """States of one direction over x (steps, windows); a state stays where the window has no byte."""
+    def step(self, d: str, x: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple:
+        """The next state over one byte of each stretch, and what it was made of; a state stays where there is no byte."""
         u, p = self.units, self.p
-        h = np.zeros((u, x.shape[1]), np.float32)
+        a = p["x" + d].take(x, axis=1)
+        zr = sigmoid(a[: 2 * u] + p["g" + d] @ h)
+        rh = zr[u:] * h
+        c = np.tanh(a[2 * u :] + p["c" + d] @ rh)
+        z = zr[:u] * live
+        return h + z * (c - h), zr, z, rh, c
+
+    def direction(self, d: str, x: np.ndarray, live: np.ndarray, keep: bool = False):
+        """States of one direction over x (steps, stretches)."""
+        h = np.zeros((self.units, x.shape[1]), np.float32)
         states, trail = [None] * len(x), []
         for t in range(len(x)) if d == "f" else reversed(range(len(x))):
-            a = p["x" + d].take(x[t], axis=1)
-            zr = sigmoid(a[: 2 * u] + p["g" + d] @ h)
-            z, r = zr[:u], zr[u:]
-            rh = r * h
-            c = np.tanh(a[2 * u :] + p["c" + d] @ rh)
-            z = z * live[t]
-            new = h + z * (c - h)
+            new, zr, z, rh, c = self.step(d, x[t], live[t], h)
             if keep:
                 trail.append((t, h, zr, z, rh, c))
             h = states[t] = new
         return states, trail
 
-    def probabilities(self, rows: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """For each window the sum over its positions of the languages' probabilities."""
+    def probabilities(self, rows: np.ndarray, size: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """For each stretch the sum over its positions from ``first`` to ``last`` of the languages' probabilities."""
         out = np.zeros((len(rows), len(self.langs)))
         order = np.argsort(-size, kind="stable")
         for s in range(0, len(rows), SIDE):
             own = order[s : s + SIDE]
             steps = int(size[own].max())
+            at = np.arange(steps)[:, None]
             x = np.ascontiguousarray(rows[own, :steps].T)
-            live = (np.arange(steps)[:, None] < size[own]).astype(np.float32)
+            live = (at < size[own]).astype(np.float32)
+            asked = ((at >= first[own]) & (at < last[own])).astype(np.float32)
             back, _ = self.direction("b", x, live)
             total = np.zeros((len(self.langs), len(own)), np.float32)
-            ahead, _ = self.direction("f", x, live)
-            for t in range(steps):
-                logit = self.p["of"] @ ahead[t] + self.p["ob"] @ back[t] + self.p["bias"]
+            for t, h in self.ahead(x, live):
+                logit = self.p["of"] @ h + self.p["ob"] @ back[t] + self.p["bias"]
                 e = np.exp(logit - logit.max(0))
-                total += e * (live[t] / e.sum(0))
+                total += e * (asked[t] / e.sum(0))
+                back[t] = None
             out[own] = total.T
         return out
 
+    def ahead(self, x: np.ndarray, live: np.ndarray):
+        """The states of the forward direction one after the other."""
+        h = np.zeros((self.units, x.shape[1]), np.float32)
+        for t in range(len(x)):
+            h = self.step("f", x[t], live[t], h)[0]
+            yield t, h
+
     def gradients(self, rows: np.ndarray, size: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
         """Backpropagation through time of the mean cross entropy at the positions."""
         u, p = self.units, self.p
@@ -119,13 +136,20 @@ class Net:
                     grad["x" + d][k] += np.bincount(x[t], da[k], 256)
         return grad
 
-    def fit(self, rows: np.ndarray, size: np.ndarray, target: np.ndarray, rounds: int = ROUNDS, batch: int = BATCH, rate: float = RATE, seed: int = 5) -> Net:
+    def fit(self, texts: list[bytes], target: np.ndarray, rounds: int = ROUNDS, batch: int = BATCH, steps: int = STRETCH, rate: float = RATE, seed: int = 5) -> Net:
+        """Steps of gradient descent with moments on stretches from anywhere in the texts; languages weigh alike."""
         rng = np.random.default_rng(seed)
+        of = [np.flatnonzero(target == k) for k in range(len(self.langs))]
         one = {k: np.zeros_like(v) for k, v in self.p.items()}
         two = {k: np.zeros_like(v) for k, v in self.p.items()}
         for step in range(1, rounds + 1):
-            own = rng.integers(0, len(rows), min(batch, len(rows)))
-            grad = self.gradients(rows[own], size[own], target[own])
+            own = [int(rng.choice(of[k])) for k in rng.permutation(np.arange(batch) + int(rng.integers(len(of)))) % len(of) if len(of[k])]
+            rows, size = np.zeros((len(own), steps), np.uint8), np.zeros(len(own), np.int64)
+            for i, k in enumerate(own):
+                at = int(rng.integers(0, max(len(texts[k]) - steps, 0) + 1))
+                cut = np.frombuffer(texts[k], np.uint8, min(steps, len(texts[k]) - at), at)
+                rows[i, : len(cut)], size[i] = cut, len(cut)
+            grad = self.gradients(rows, size, target[own])
             scale = rate * min(1.0, 3 * (1 - (step - 1) / rounds))
             for k, g in grad.items():
                 g = np.clip(g, -1, 1)
@@ -135,35 +159,31 @@ class Net:
         return self
 
 
-def train(docs: DataFrame, docs_a_lang: int = DOCS_A_LANG, rounds: int = ROUNDS) -> Net | None:
+def train(docs: DataFrame, bytes_a_lang: int = BYTES_A_LANG, rounds: int = ROUNDS) -> Net | None:
     """Learns from rows with a language and crc32(doc_id) mod 4 other than 2.
 
-    The sample has about ``docs_a_lang`` documents of each language, by a hash of the id, and
-    WINDOWS_A_DOC windows of each; with more than LANGS languages, all of them share what LANGS would
-    have, with 2 documents each at least. It goes to the driver; no language is left out.
+    The sample has about ``bytes_a_lang`` bytes of each language in whole texts, chosen by a hash of the id, and
+    LEAST_DOCS texts at least; with more than LANGS languages, all of them share what LANGS would
+    have. It goes to the driver; no language is left out. Stretches are drawn from everywhere in its texts.
     """
     own = docs.filter((mod_of_id("doc_id", 4) != 2) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    n = {r.lang: r["count"] for r in own.groupBy("lang").count().collect()}
+    n = {r.lang: r for r in own.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).collect()}
     if not n:
         return None
     langs = sorted(n)
-    docs_a_lang = max(min(2, docs_a_lang), min(docs_a_lang, docs_a_lang * LANGS // len(langs)))
+    bytes_a_lang = min(bytes_a_lang, max(1, bytes_a_lang * LANGS // len(langs)))
+    share = {x: min(1.0, max(bytes_a_lang / n[x].bytes, LEAST_DOCS / n[x].rows)) for x in langs}
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(23)), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(v) for x in langs for v in (x, int(min(1.0, docs_a_lang / n[x]) * (1 << 30)))])
-    size = F.octet_length("text")
-    raw = F.col("text").cast("binary")
-    cut = [F.substring(raw, F.pmod(F.xxhash64("text", F.lit(j)), F.greatest(size - STEPS + 1, F.lit(1))).cast("int") + 1, F.lit(STEPS)).alias(f"w{j}") for j in range(WINDOWS_A_DOC)]
-    rows = own.filter(place <= F.get(F.map_values(F.map_filter(share, lambda k, v: k == F.col("lang"))), F.lit(0))).select("doc_id", "lang", *cut).limit(2 * docs_a_lang * len(langs)).collect()
-    rows = sorted(rows, key=lambda r: (str(r.doc_id), r.lang, bytes(r.w0)))
-    texts = [bytes(r[f"w{j}"]) for r in rows for j in range(WINDOWS_A_DOC)]
-    target = np.repeat([langs.index(r.lang) for r in rows], WINDOWS_A_DOC)
-    x = np.zeros((len(texts), STEPS), np.uint8)
-    for i, t in enumerate(texts):
-        x[i, : len(t)] = np.frombuffer(t, np.uint8)
-    # Languages weigh alike.
-    some = np.random.default_rng(1)
-    even = np.concatenate([some.choice(np.flatnonzero(target == k), 2 * len(target) // len(langs)) for k in range(len(langs)) if (target == k).any()])
-    return Net(langs).fit(x[even], np.array([len(texts[i]) for i in even]), target[even], rounds)
+    told = F.create_map(*[F.lit(v) for x in langs for v in (x, int(share[x] * (1 << 30)))])
+    chosen = own.filter(place <= F.element_at(told, F.col("lang"))).select("doc_id", "lang", "text")
+    first = Window.partitionBy("lang").orderBy(place, "doc_id")
+    rows = chosen.collect()
+    if {r.lang for r in rows} != set(langs):  # a language of a few rows that the hash passed by
+        missed = own.filter(~F.col("lang").isin(sorted({r.lang for r in rows}))).withColumn("__k", F.row_number().over(first))
+        rows += missed.filter(F.col("__k") <= LEAST_DOCS).select("doc_id", "lang", "text").collect()
+    rows = sorted(rows, key=lambda r: (str(r.doc_id), r.lang, r.text))
+    at = {x: k for k, x in enumerate(langs)}
+    return Net(langs).fit([r.text.encode() for r in rows], np.array([at[r.lang] for r in rows]), rounds)
 
 
 def labels(texts: list[bytes], net: Net | None) -> tuple[np.ndarray, np.ndarray]:
@@ -173,9 +193,9 @@ def labels(texts: list[bytes], net: Net | None) -> tuple[np.ndarray, np.ndarray]
     if letters.any():
         own = np.flatnonzero(letters)
         buf, starts, ends = lay_out([texts[i] for i in own])
-        rows, size, text = windows(buf, starts, ends)
+        rows, size, first, last, text = stretches(buf, starts, ends)
         pool = np.zeros((len(own), len(net.langs)))
-        np.add.at(pool, text, net.probabilities(rows, size))
+        np.add.at(pool, text, net.probabilities(rows, size, first, last))
         pool /= (ends - starts)[:, None]
         best = pool.argmax(1)
         pred[own] = [net.langs[k] for k in best]
@@ -186,8 +206,8 @@ def labels(texts: list[bytes], net: Net | None) -> tuple[np.ndarray, np.ndarray]
 def identify(docs: DataFrame, net: Net | None) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
-    Every byte of every text is labelled; a text's score for a language is the mean of its
-    positions' probabilities. Texts that are null or have no letter are ``und`` with score 0, as is
+    Every byte of every text is labelled, in the light of what stands before and after it; a text's score
+    for a language is the mean of its positions' probabilities. Texts of any length are read whole. Texts that are null or have no letter are ``und`` with score 0, as is
     everything if nothing was learned; equal texts get equal answers; ties go to the first language
     by name; other columns are left out; an empty table gives an empty result.
     """
