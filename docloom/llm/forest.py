@@ -166,7 +166,8 @@ def judge(docs: DataFrame, labels: DataFrame, trees: int = TREES, subsample: int
     for those, else the forest's verdict. The forest is grown on a sample of at most 2 * ``sample``
     documents; the threshold comes from all labelled rows and every document is scored. Null and
     empty texts fail the base rules; equal rows give equal verdicts; without labels of both kinds
-    the base rules decide alone; an empty table gives an empty result; other columns are left out.
+    the base rules decide alone; an empty table gives an empty result; texts of any length are read whole; equal scores fall on the same side
+    of the threshold; other columns are left out, whatever their names.
     """
     stats = settle(rule_statistics(docs), "stats")
     sound = f"n_words >= {LEAST_WORDS} and 100 * n_repeat_words <= {MOST_REPEATED} * n_words"

@@ -75,8 +75,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, inline: int = INLINE) -> DataFra
     out = found.select("doc_id", "key", F.posexplode(windows(F.col("words"), SPAN)).alias("start", "span")).join(spans, "span").select("doc_id", "key", "start", F.lit(SPAN).alias("length"), "item_id")
     for n in sorted(r.n for r in short.select("n").distinct().collect()):  # at most SPAN - 1 lengths
         own = short.filter(F.col("n") == n).select("item_id", "span")
-        every = rows.select("doc_id", "key", F.posexplode(windows(words(F.col("text")), n)).alias("start", "span"))
-        out = out.unionByName(every.join(own, "span").select("doc_id", "key", "start", F.lit(n).alias("length"), "item_id"))
+        every = F.transform(windows(words(F.col("text")), n), lambda w, i: F.struct(i.alias("start"), w.alias("span")))
+        told = [r.span for r in own.select("span").distinct().limit(inline + 1).collect()]
+        if len(told) <= inline:  # only what is found becomes a row
+            every = F.filter(every, lambda x: x.span.isin(told))
+        at = rows.select("doc_id", "key", F.explode(every).alias("x")).select("doc_id", "key", "x.start", "x.span")
+        out = out.unionByName(at.join(own, "span").select("doc_id", "key", "start", F.lit(n).alias("length"), "item_id"))
     return out
 
 
