@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -61,30 +62,58 @@ def test_bpe(spark, docs, empty):
 
     path = queries.vocabulary("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    got = bpe.encode_decode(docs, path, full=True).collect()
     texts = {r[0]: r[1] or "" for r in some_docs()}
-    assert len(got) == len(some_docs())
-    for r in got:
-        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
-        assert r.ids == ids and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
-        assert r.decoded == library.decode(ids, skip_special_tokens=False) == texts[r.doc_id]
+    assert len(bpe.shared_chunks(docs, path)) > 5
+    for shared in (bpe.SHARED, 3, 0):
+        got = bpe.encode_decode(docs, path, full=True, shared=shared).collect()
+        assert sorted(r.doc_id for r in got) == sorted(r[0] for r in some_docs())
+        for r in got:
+            ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+            assert r.ids == ids and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+            assert r.decoded == library.decode(ids, skip_special_tokens=False) == texts[r.doc_id]
     assert bpe.encode_decode(empty, path).count() == 0
 
 
+def test_bpe_repairs_joins():
+    """Any cuts give the library's ids; wrong witnesses make a join go on, up to the whole text."""
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("byte_bpe_50k.json")
+    library, encoder, rng = Tokenizer.from_file(path), bpe.Encoder(path), random.Random(11)
+    for k in range(400):
+        text = "".join(rng.choices(["rain ", "the", " don't", "é", "漢字", "  ", "\n", " 12", "3.", "<|endoftext|>", "!", " a b c d e"], k=rng.randint(0, 60)))
+        raw = text.encode()
+        places = [0, *sorted(rng.sample(range(1, len(raw)), min(6, len(raw) - 1))), len(raw)] if len(raw) > 1 else [0, len(raw)]
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.text(raw, places), "<u4").tolist() == ids
+        if k % 4 == 0:
+            wrong = bpe.Encoder(path)
+            for a, b in zip(places, places[1:]):
+                own = wrong.chunk(raw[a:b])
+                if own.first:
+                    setattr(own, rng.choice(["left", "right"]), b"wrong ids")
+            assert np.frombuffer(wrong.text(raw, places), "<u4").tolist() == ids
+
+
 def test_token_counts(docs, empty):
     import sentencepiece
 
     path = queries.vocabulary("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = {r[0]: r[1] or "" for r in some_docs()}
-    for r in pieces.token_counts(docs, path, 100).collect():
-        n = len(model.encode(texts[r.doc_id]))
-        assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len(texts[r.doc_id].encode()), n > 100)
+    for hot in (pieces.HOT, 40, 0):  # all pre-tokens told to every task, some, none
+        got = pieces.token_counts(docs, path, 100, hot).collect()
+        assert sorted(r.doc_id for r in got) == sorted(r[0] for r in some_docs())
+        for r in got:
+            n = len(model.encode(texts[r.doc_id]))
+            assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len(texts[r.doc_id].encode()), n > 100)
+    table = pieces.piece_table(docs, path).collect()
+    expected = collections.Counter(x for r in some_docs() for x in pieces.pre_tokens(r[1] or ""))
+    assert {r.pre: r.freq for r in table} == expected and len(table) == len(expected)
     rng = random.Random(2)
-    counts = pieces.Counts(path)
     for _ in range(2000):
         t = "".join(rng.choices(" ▁\nab.漢é\t\x00", k=rng.randint(0, 25)))
-        assert pieces.count_text(t, counts) == len(model.encode(t))
+        assert pieces.count_text(t, path) == len(model.encode(t))
     assert pieces.token_counts(empty, path).count() == 0
 
 
@@ -157,14 +186,17 @@ def test_cascade(spark):
     rows = [(i, f"http://h{i % 50}.example.net/en/{i}") for i in range(3000)] + [(9001, None), (9002, "no scheme"), (9003, "x://A.Example.ORG/es/1?q"), (1, "http://h1.example.net/en/1")]
     df = spark.createDataFrame(rows, "page_id long, url string")
     listed = F.crc32(F.col("path").cast("binary")) % 7 == 0
-    for bits in (1 << 24, 2048):
-        got = cascade.filter_urls(df, listed, pass_bits=bits)
+    keys = df.select(F.concat(cascade.host(F.col("url")), cascade.path(F.col("url"))).alias("key"), cascade.path(F.col("url")).alias("path")).filter(listed).select("key")
+    for share, told, own in ((1 << 24, 1 << 26, listed), (2048, 1 << 26, listed), (2048, 0, keys.unionByName(keys).unionByName(spark.createDataFrame([("not.here/x",)], "key string")))):
+        got = cascade.filter_urls(df, own, share_bits=share, told_bits=told)
         assert got.count() == len(rows)
         free = got.filter("rule is null")
         assert free.filter((F.col("verdict") == "block") != F.coalesce(listed, F.lit(False))).count() == 0
         assert free.filter("verdict = 'block'").count() > 100
     special = {r.page_id: r for r in got.filter("page_id > 9000").collect()}
     assert (special[9001].host, special[9001].path, special[9001].rule) == ("", "", None)
+    assert cascade.filter_urls(df, keys.limit(0)).filter("rule is null and verdict = 'block'").count() == 0
+    assert cascade.filter_urls(df.limit(0), listed).count() == 0
     assert (special[9003].host, special[9003].path, special[9003].rule, special[9003].verdict) == ("a.example.org", "/es/1", "example.org/es/", "block")
 
 
@@ -190,6 +222,35 @@ def test_quality(spark, docs, empty):
     assert forest.judge(empty, labels).count() == 0
 
 
+def test_forest_against_plain_python(spark):
+    """A row's score is 2 ** -(mean path / expected path), its path walked node by node; the threshold is the best border that is allowed."""
+    rng = np.random.default_rng(4)
+    rows = np.round(rng.random((300, 4)), 1)
+    made = forest.Forest(rows, trees=20, subsample=64)
+    for row, score in zip(rows[:40].tolist(), made.score(rows[:40]).tolist()):
+        total = 0.0
+        for feature, split, left, right, path in made.trees:
+            at = 0
+            while feature[at] >= 0:
+                at = left[at] if row[feature[at]] <= split[at] else right[at]
+            total += path[at]
+        n = 64
+        mean = 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+        assert math.isclose(score, 2 ** (-total / 20 / mean), rel_tol=1e-9)
+    assert made.score(rows[:1])[0] == made.score(np.repeat(rows[:1], 3, axis=0))[2]
+    data = [(i, round(random.Random(i).random() * (0.6 if i % 3 else 1), 2)) for i in range(200)]
+    quality = {i: int(i % 3 > 0) for i, _ in data}
+    got = forest.threshold(spark.createDataFrame(data, "doc_id long, score double"), spark.createDataFrame([(i, q, 0) for i, q in quality.items()], "doc_id long, quality int, toxic int"))
+    bins = lambda x: min(int(math.floor(x * forest.BINS)), forest.BINS - 1)
+
+    def worth(border):
+        kept = np.mean([bins(x) <= border for i, x in data if quality[i]])
+        return kept + np.mean([bins(x) > border for i, x in data if not quality[i]]) if kept >= forest.KEEP_GOOD else -1
+
+    best = max(worth(k) for k in range(forest.BINS))
+    assert math.isclose(worth(round(got * forest.BINS) - 1), best)
+
+
 def test_quality_separates(spark):
     got = queries.op7_quality_rules(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("not base_failed")
     share = {r.quality: r.k for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
@@ -207,6 +268,50 @@ def test_language(spark, docs, empty):
     assert language.train(empty) is None and language.identify(empty, None).count() == 0
 
 
+def test_language_against_plain_python(spark, docs):
+    """Byte by byte in scalar arithmetic, over texts shorter and longer than a stretch, ties to the first language by name."""
+    net = language.train(docs, rounds=5)
+    p = {k: v.astype(float).tolist() for k, v in net.p.items()}
+    u = net.units
+    sig = lambda v: 1 / (1 + math.exp(-v))
+
+    def states(d, raw):
+        h, out = [0.0] * u, []
+        for byte in raw if d == "f" else raw[::-1]:
+            gate = [sig(p["x" + d][k][byte] + sum(w * v for w, v in zip(p["g" + d][k], h))) for k in range(2 * u)]
+            rh = [gate[u + k] * h[k] for k in range(u)]
+            c = [math.tanh(p["x" + d][2 * u + k][byte] + sum(w * v for w, v in zip(p["c" + d][k], rh))) for k in range(u)]
+            h = [h[k] + gate[k] * (c[k] - h[k]) for k in range(u)]
+            out.append(h)
+        return out if d == "f" else out[::-1]
+
+    def plain(text):
+        raw, total = text.encode(), [0.0] * len(net.langs)
+        for begin in range(0, len(raw), language.STEPS):
+            low, high = max(0, begin - language.WARM), min(len(raw), begin + language.STEPS + language.WARM)
+            f, b = states("f", raw[low:high]), states("b", raw[low:high])
+            for t in range(begin - low, min(begin + language.STEPS, len(raw)) - low):
+                logit = [sum(w * v for w, v in zip(p["of"][k], f[t])) + sum(w * v for w, v in zip(p["ob"][k], b[t])) + p["bias"][k][0] for k in range(len(net.langs))]
+                top = max(logit)
+                e = [math.exp(v - top) for v in logit]
+                total = [x + v / sum(e) for x, v in zip(total, e)]
+        return [x / len(raw) for x in total]
+
+    texts = {r[0]: r[1] for r in some_docs()}
+    got = language.identify(docs, net).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in some_docs())
+    for r in got:
+        if r.lang_pred == "und":
+            assert not any(c.isalpha() for c in texts[r.doc_id] or "") and r.score == 0
+            continue
+        if r.doc_id % 3 == 0 or len(texts[r.doc_id]) > language.STEPS:
+            own = plain(texts[r.doc_id])
+            assert math.isclose(r.score, max(own), abs_tol=1e-4) and own[net.langs.index(r.lang_pred)] > max(own) - 1e-4
+    even = language.Net(["a", "b"])
+    even.p["of"][:] = even.p["ob"][:] = 0
+    assert language.labels([b"text"], even)[0].tolist() == ["a"]
+
+
 def test_languages_beyond_256(spark):
     rows = [(i, f"text number {i}", f"l{i % 300:03}", "s", 1, "n") for i in range(1200)]
     net = language.train(spark.createDataFrame(rows, SCHEMA), rounds=1)
@@ -256,6 +361,57 @@ def test_scores(docs, empty):
     assert mixing.score(empty).count() == 0
 
 
+def test_scores_against_plain_python(spark, docs, monkeypatch):
+    """Every decision of every byte from counts in dictionaries; a text that is learned from is taken out byte by byte."""
+    rows = some_docs()
+    sample = [(r[1] or "").encode() for r in rows[:20]]
+    monkeypatch.setattr(mixing, "learned_texts", lambda *_: sample)
+    monkeypatch.setattr(mixing.Model, "learn", lambda self, *_: self)
+    code = mixing.Code(np.bincount(np.frombuffer(b"".join(t + bytes([mixing.END]) for t in sample), np.uint8), minlength=256))
+    model = mixing.Model(code)
+    seen = collections.defaultdict(lambda: [0, 0])
+
+    def decisions(text):
+        raw, word = bytes([mixing.END]) * mixing.PAD + (text or "").encode() + bytes([mixing.END]), b""
+        for i in range(mixing.PAD, len(raw)):
+            word = b"" if raw[i - 1] in b" \t\n\v\f\r\xff" else word + raw[i - 1 : i]
+            leaf = int(code.leaf[raw[i]])
+            bits = tuple(code.bits[: code.size[leaf], leaf].tolist())
+            for d, bit in enumerate(bits):
+                yield d, bit, [(k, ctx, bits[:d]) for k, ctx in enumerate((raw[i - 3 : i], raw[i - 5 : i], word))]
+
+    held = {r[0]: zlib.crc32(str(r[0]).encode()) % 7 == 2 for r in rows}
+    for r in rows:
+        for _, bit, nodes in decisions(r[1]) if not held[r[0]] else ():
+            for node in nodes:
+                seen[node][bit] += 1
+
+    def plain(text, own):
+        total = [0.0] * len(mixing.TOPS)
+        for d, bit, nodes in decisions(text):
+            stretch, level = [], []
+            for node in nodes:
+                n = list(seen[node]) if node in seen else [0, 0]
+                n[bit] = max(n[bit] - own, 0)
+                stretch.append(max(-127, min(127, round(math.log((n[1] + mixing.PRIOR) / (n[0] + mixing.PRIOR)) * mixing.SCALE))))
+                level.append(sum(sum(n) >= x for x in (1, 3, 12)))
+            known = model.by_known[level[1] * mixing.LEVELS + level[2]]
+            deep = model.by_depth[min(d, mixing.DEPTHS - 1) * mixing.LEVELS + level[2]]
+            z = sum((model.top[0] * a + model.top[1] * b) * x / mixing.SCALE for a, b, x in zip(known, deep, stretch))
+            for k, t in enumerate(mixing.TOPS):
+                total[k] += math.log1p(math.exp(t * (-z if bit else z)))
+        best = min(total)
+        return (math.log(sum(math.exp(best - x) for x in total) / len(total)) - best) / math.log(10)
+
+    texts = {r[0]: r[1] for r in rows}
+    got = mixing.score(docs).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    assert len({held[r.doc_id] for r in got}) == 2
+    for r in got:
+        if r.doc_id % 2 or held[r.doc_id] or len(texts[r.doc_id] or "") > 2000:
+            assert math.isclose(r.score, plain(texts[r.doc_id], int(not held[r.doc_id])), rel_tol=2e-4, abs_tol=1e-3), r.doc_id
+
+
 def test_context_counts(spark):
     """What a context has seen at a node is counted exactly, on however many texts and parts."""
     rng = random.Random(6)
@@ -302,7 +458,9 @@ def test_code_is_complete():
 def test_markup():
     page = "<html><head><title>T</title><style>x</style></head><body><nav><a href=/>Menu</a></nav><div class='cookie-notice'>We use</div><article><h1>A &amp; B</h1><p>one<br>two  <b>three</b><p>four<script>'</p>'</script> five<!-- no --></article><section id=comments><p>First!</p></section><footer>&copy; x</footer>"
     text = [t for t, _, k in markup.lines_of(page) if k]
-    assert text == ["A & B", "one", "two three", "four five"]
+    assert text == ["A & B", "one two three", "four five"]
+    assert [k for *_, k in markup.lines_of("<div role=main><p>a&nbsp; b</p></div><div role='Main'>c</div><p role=\"note\">d")] == [2, 2, 1]
+    assert markup.lines_of("<p>a&nbsp; b")[0][0] == "a b"
     assert markup.lines_of("") == [] and [t for t, *_ in markup.lines_of("plain <b>text")] == ["plain text"]
 
 
@@ -327,6 +485,62 @@ def test_differencing(spark):
     assert got[100].text == got[102].text == "" and got[101].text == "alone" and got[100].n_chars == 0
 
 
+def plain_texts(rows):
+    """The whole extraction in plain Python: classes of equal pages, their neighbours in URL order, LCS, and what stays."""
+    packed = {}
+    for i, url, html in rows:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host, path = re.match(r"[^/?#]*", rest)[0].lower(), re.match(r"[^/?#]*([^?#]*)", rest)[1]
+        own = markup.lines_of(html or "")
+        packed[i, url, html] = (host, path, own, tuple((t, p, k) for t, p, k in own if k))
+    classes = {}
+    for host, path, _, body in packed.values():
+        classes[host, body] = min(classes.get((host, body), path), path)
+    order = sorted((host, path, pages.class_of(host, pages.packed_lines(body)), body) for (host, body), path in classes.items())
+    out = {}
+    for row, (host, path, own, body) in packed.items():
+        at = next(k for k, x in enumerate(order) if x[0] == host and x[3] == body)
+        near = [order[k] for k in range(max(0, at - pages.REACH), min(len(order), at + pages.REACH + 1)) if k != at and order[k][0] == host]
+        shared = None
+        for _, other, _, lines in sorted(near, key=lambda x: -len(os.path.commonprefix([x[1], order[at][1]]))):
+            common = np.zeros(len(body), bool)
+            common[pages.lcs([t for t, _, _ in body], [t for t, _, _ in lines])] = True
+            if shared is None or common.sum() < pages.COPY * len(body):
+                shared = common
+            if common.sum() < pages.COPY * len(body):
+                break
+        keep = pages.kept_lines(np.array([k for *_, k in body], np.int8), [p for _, p, _ in body], np.array([len(t) for t, *_ in body], int), shared)
+        out[row] = "\n".join(t for (t, _, _), x in zip(body, keep) if x)
+    return out
+
+
+def test_extraction_against_plain_python(spark):
+    """Also with fewer rows a range than a record has neighbours, and one host with most pages."""
+    rng = random.Random(21)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(n))
+    rows = []
+    for i in range(60):
+        host = "big.org" if i % 3 else f"h{i % 5}.org"
+        frame = [f"<div class=n{k}><p>frame {host} {k}</p></div>" for k in range(3)]
+        body = "".join(f"<p>{words(6)}</p>" for _ in range(rng.randint(0, 4))) + ("<p>a phrase of all</p>" if i % 4 == 0 else "")
+        tag = rng.choice(["div class=b", "article", "main"])
+        rows.append((i, f"http://{host}/{rng.choice('ab')}/{i // 2}", f"<body>{''.join(frame)}<{tag}>{body}</{tag.split()[0]}><footer>f</footer></body>" if i % 11 else None))
+    rows += [rows[4], (100, rows[5][1], rows[5][2]), (101, None, "<p>x"), (102, None, "<p>x")]
+    expected = plain_texts(rows)
+    schema = "page_id long, url string, html string"
+    for parts in (1, 7, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = pages.main_text(spark.createDataFrame(rows, schema).repartition(3)).collect()
+        assert sorted((r.page_id, r.text) for r in got) == sorted((r[0], expected[r]) for r in rows)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert any("frame" in (r[2] or "") and "frame" not in expected[r] and expected[r] for r in rows)
+    assert pages.main_text(spark.createDataFrame([], schema)).count() == 0
+    wide = spark.createDataFrame([(*r, "k", "c", "x") for r in rows[:5]], schema + ", key string, cls string, text string")
+    assert {r.page_id for r in pages.main_text(wide).collect()} == {r[0] for r in rows[:5]}
+
+
 def test_differencing_beside_and_inside_article(spark):
     page = "<html><body><article><p>Teaser of the site</p></article><div class=body>{}</div><article><p>Own end {}</p></article></body></html>"
     rows = [(i, f"http://a.org/x/{i}", page.format("".join(f"<p>story {i} line {j}</p>" for j in range(6)), i)) for i in range(6)]
@@ -354,6 +568,44 @@ def test_differencing_of_copies_and_short_pages(spark):
         assert got == {i: "\n".join([*story, f"version {i}"]) for i in range(7)}
 
 
+def test_awkward_tables(spark):
+    """A text of 1 MB, one word of 1 MB, repeated rows, and columns named like the operators' own: every row once, whole texts."""
+    rng = random.Random(31)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 8))) for _ in range(2000)]
+    long = " ".join(rng.choices(words, k=200_000))
+    item = " ".join(rng.choices(words, k=12))
+    texts = [long + " " + item, "z" * 1_000_000, "a line\n" * 20_000, "", None, "short text here", "short text here"]
+    extra = ("key", "cls", "n", "held_out", "score", "row", "n_lines", "n_words", "n_tokens", "k", "part", "raw", "h", "fps", "words", "spread", "first")
+    rows = [(i, t, rng.choice(["en", "fr"]), f"s{i}", 1, *extra) for i, t in enumerate(texts)] + [(0, texts[0], "en", "s0", 1, *extra)]
+    wide = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{x} string" for x in extra)).repartition(3)
+    ids = sorted(r[0] for r in rows)
+    told = lambda df: sorted(df.collect(), key=lambda r: r.doc_id)
+    size = [len((r[1] or "").encode()) for r in sorted(rows, key=lambda r: r[0])]
+    got = told(pieces.token_counts(wide, queries.vocabulary("piece_bpe_32k.model")))
+    assert [r.doc_id for r in got] == ids and [r.n_bytes for r in got] == size and got[0].n_tokens == got[1].n_tokens > 200_000
+    got = told(bpe.encode_decode(wide, queries.vocabulary("byte_bpe_50k.json")))
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    assert [r.decoded_sha256 for r in got] == [digest(r[1]) for r in sorted(rows, key=lambda r: r[0])]
+    got = told(mixing.score(wide))
+    assert [r.doc_id for r in got] == ids and got[0].n_tokens == 200_013 and got[0].score == got[1].score
+    got = told(language.identify(wide, language.train(wide, rounds=2)))
+    assert [r.doc_id for r in got] == ids and [r.lang_pred == "und" for r in got] == [not any(map(str.isalpha, r[1] or "")) for r in sorted(rows, key=lambda r: r[0])]
+    got = told(forest.judge(wide, spark.createDataFrame([], "doc_id long, quality int, toxic int")))
+    assert [r.n_words for r in got][:3] == [200_012, 200_012, 1] and [r.kept for r in got] == [not r.base_failed for r in got]
+    got = told(winnow.decontaminate(wide, spark.createDataFrame([(7, item)], "item_id long, text string")))
+    assert [r.n_hit for r in got] == [12, 12, 0, 0, 0, 0, 0, 0] and got[0].n_words == 200_012
+    assert winnow.decontaminate(wide, spark.createDataFrame([], "item_id long, text string")).filter("contaminated").count() == 0
+    got = told(lines.dedup_lines(wide))
+    assert [r.n_lines for r in got] == [1, 1, 1, 20_001, 1, 0, 1, 1] and got[0].key == "key" and [r.doc_id for r in got] == ids
+    got = told(jaccard.jaccard_components(wide))
+    assert [(r.doc_id, r.component_id) for r in got] == [(i, 5 if i == 6 else i) for i in ids] and got[2].n_shingles == 1
+    long_pages = [(i, f"http://a.org/{i}", f"<body><article><p>{t or ''}</p></article></body>") for i, t in enumerate(texts)]
+    got = pages.main_text(spark.createDataFrame(long_pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: " ".join((t or "").split()) for i, t in enumerate(texts)}
+    got = cascade.filter_urls(spark.createDataFrame([(1, "http://a-b.net/" + "p" * 1_000_000, "x"), (1, "http://a-b.net/" + "p" * 1_000_000, "x"), (2, None, "x")], "page_id long, url string, key string"), cascade.by_host())
+    assert sorted((r.page_id, len(r.path), r.verdict) for r in got.collect()) == [(1, 1_000_001, "block")] * 2 + [(2, 0, "allow")]
+
+
 def test_dropping_rows(spark, docs, empty):
     """Null and shared ids, repeated rows, and columns named like the operators' own."""
     schema = "doc_id long, text string, score string, key string, cls string, n string"
