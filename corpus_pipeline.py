@@ -44,11 +44,18 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("bpe", encode)]
 
-#: No SQL: a trained network decides in the first stage. tests/llm holds run() against plain Python.
+#: No SQL: a trained network decides in the first stage. tests/llm (test_pipeline_against_plain_python) holds the
+#: stages after it against plain Python, given the rows that the network keeps.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests (see ``bpe.encode_decode``) of the documents that all stages keep, in no order.
+
+    Null texts, empty ones and those without a letter go in the first stage. Of rows repeated under one id
+    with one text the near-duplicate stage keeps all or none; of other linked rows one stays. Null ids are ids
+    of their own. Texts of any length pass whole; an empty table gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name)
