@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import LOWER, lay_out, mix64, pack, row_key, settle, sum_vectors, text_pieces, unpack, utf8, without, words_of
+from docloom.llm.common import LOWER, forget, lay_out, mix64, pack, row_key, settle, sum_vectors, text_pieces, unpack, utf8, without, words_of
 from docloom.llm.graph import components
 
 #: Words of a shingle, and the least similarity in hundredths.
@@ -15,6 +15,12 @@ SHINGLE, PERCENT = 5, 75
 #: Shingle frequencies are kept in 2**ORDER_BITS hashed counters; they only order the shingles, so
 #: sharing a counter costs speed and no link.
 ORDER_BITS, CHUNK = 22, 1 << 16
+#: Members of a key beyond which they are dealt out by size before they meet.
+MANY = 64
+#: Classes that a task remembers to have read; a class that it reads again costs rows and changes nothing.
+MET = 500_000
+#: Bytes of text that are worked on at a time: what a task holds is some 100 times as much.
+PIECE = 500_000
 #: Bits of the bitmaps that spare the shuffle what can't matter; a join decides what they let through.
 SIEVE_BITS = 26
 
@@ -88,17 +94,15 @@ def sieve_of(df: DataFrame, column: str, bits: int = SIEVE_BITS):
 
     step = min(CHUNK, (1 << bits) // 8)
 
-    def join(pdf):
+    def join(rows: pa.Table) -> pa.Table:
         total = np.zeros(step, np.uint8)
-        for v in pdf["vec"]:
-            total |= np.frombuffer(v, np.uint8)
-        out = pdf.iloc[:1].copy()
-        out["vec"] = [total.tobytes()]
-        return out
+        for v in rows.column("vec"):
+            total |= np.frombuffer(v.as_buffer(), np.uint8)
+        return rows.slice(0, 1).set_column(2, "vec", pa.array([total.tobytes()], pa.binary()))
 
     marked = df.select(column).mapInArrow(mark, "chunk int, part long, vec binary").withColumn("part", F.col("part") % 64)
     schema = "chunk int, part long, vec binary"
-    marked = marked.groupBy("chunk", "part").applyInPandas(join, schema).withColumn("part", F.lit(0).cast("long")).groupBy("chunk").applyInPandas(join, schema)
+    marked = marked.groupBy("chunk", "part").applyInArrow(join, schema).withColumn("part", F.lit(0).cast("long")).groupBy("chunk").applyInArrow(join, schema)
     whole = np.zeros((1 << bits) // 8, np.uint8)
     for r in marked.toLocalIterator():
         whole[r.chunk * step : (r.chunk + 1) * step] = np.frombuffer(bytes(r.vec), np.uint8)
@@ -112,8 +116,11 @@ def sieve_of(df: DataFrame, column: str, bits: int = SIEVE_BITS):
     return test
 
 
-def describe(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """Each row (doc_id, key) with its class (equal sets share one), and the hashed shingle frequencies."""
+def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Each row (doc_id, key) with its class (equal sets share one), the sets, and the hashed shingle frequencies.
+
+    Texts are read once; every later step reads the sets.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     arrow = docs.select("doc_id").limit(0).toArrow().schema.field(0).type
 
@@ -121,50 +128,65 @@ def describe(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         from pyspark import TaskContext
 
         counts = np.zeros(1 << ORDER_BITS, np.uint32)
-        schema = pa.schema([("doc_id", arrow), ("key", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("parts", pa.int64()), ("chunk", pa.int32()), ("part", pa.int64()), ("vec", pa.binary())])
+        schema = pa.schema([("doc_id", arrow), ("key", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("parts", pa.int64()), ("shingles", pa.binary()), ("chunk", pa.int32()), ("part", pa.int64()), ("vec", pa.binary())])
         for batch in batches:
-            for piece in text_pieces(batch):
+            for piece in text_pieces(batch, most_bytes=PIECE):
                 sets = shingle_sets(utf8(piece.column("text")))
                 if any(map(len, sets)):
-                    counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-                nothing = [None] * len(sets)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("key"), *(pa.array(x, t) for x, t in (([len(s) for s in sets], pa.int64()), ([class_of(s) if len(s) else None for s in sets], pa.int64()), ([part_counts(s) for s in sets], pa.int64()), (nothing, pa.int32()), (nothing, pa.int64()), (nothing, pa.binary())))], schema=schema)
+                    at, n = np.unique(np.concatenate(sets) >> np.uint64(64 - ORDER_BITS), return_counts=True)
+                    counts[at.astype(np.int64)] += n.astype(np.uint32)
+                size, cls, parts = [len(s) for s in sets], [class_of(s) if len(s) else None for s in sets], [part_counts(s) for s in sets]
+                none = [pa.nulls(len(sets), t) for t in (pa.int32(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("key"), *(pa.array(x, pa.int64()) for x in (size, cls, parts)), pa.array([s.tobytes() for s in sets], pa.binary()), *none], schema=schema)
         part = TaskContext.get().partitionId()
         for k in range(0, len(counts), CHUNK):
             if counts[k : k + CHUNK].any():
                 yield pa.RecordBatch.from_pylist([{"chunk": k // CHUNK, "part": part, "vec": pack(counts[k : k + CHUNK].astype("<u4"))}], schema)
 
-    both = settle(docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, n long, cls long, parts long, chunk int, part long, vec binary"), "sets")
+    both = settle(docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, n long, cls long, parts long, shingles binary, chunk int, part long, vec binary"), "sets")
     order = np.zeros(1 << ORDER_BITS, np.uint32)
     for r in sum_vectors(both.filter("chunk is not null").select("chunk", "part", "vec"), ["chunk"], "<u4").toLocalIterator():  # 2**ORDER_BITS counters in all
         order[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = unpack(bytes(r.vec), "<u4")
-    return both.filter("chunk is null").select("doc_id", "key", "n", "cls", "parts"), order
+    rows = both.filter("chunk is null")
+    return rows.select("doc_id", "key", "n", "cls", "parts"), rows.filter("n > 0").select("doc_id", "cls", "n", "shingles"), order
+
+
+def flat_sets(batch: pa.RecordBatch, met: set):
+    """The sets of a batch's rows as one array, with each row's size, a few MB at a time; a class that is in ``met`` is left out."""
+    new = []
+    for c in batch.column("cls").to_pylist():
+        new.append(c not in met)
+        met.add(c)
+    if len(met) > MET:
+        met.clear()
+    for piece in text_pieces(batch.filter(pa.array(new, pa.bool_())), "shingles", 4 * PIECE):
+        raw = piece.column("shingles").to_pylist()
+        yield piece, np.frombuffer(b"".join(raw), np.uint64), np.array([len(x) // 8 for x in raw], np.int64)
 
 
-def prefixes(docs: DataFrame, order, sieve=None) -> DataFrame:
-    """(key, cls, n, pos): the rarest shingles of each text, as many as two linked sets must share one of."""
+def prefixes(sets: DataFrame, order, sieve=None) -> DataFrame:
+    """(key, cls, n, pos): the rarest shingles of each set, as many as two linked sets must share one of; without a sieve the keys alone."""
 
     def run(batches):
+        met: set = set()
         for batch in batches:
-            for piece in text_pieces(batch):
-                cols = [[], [], [], []]
-                for s in shingle_sets(utf8(piece.column("text"))):
-                    n = len(s)
-                    if not n:
-                        continue
-                    keep = n - (PERCENT * n + 99) // 100 + 1
-                    rank = np.minimum(order.value[(s >> np.uint64(64 - ORDER_BITS)).astype(np.int64)], (1 << 22) - 1).astype(np.uint64) << np.uint64(42) | mix64(s) >> np.uint64(22)
-                    key = s[np.argsort(rank)[:keep]]
-                    pos = np.arange(keep, dtype=np.int32)
-                    if sieve:
-                        hit = sieve(key)
-                        key, pos = key[hit], pos[hit]
-                    for c, x in zip(cols, (key.view(np.int64), np.full(len(key), class_of(s), np.int64), np.full(len(key), n, np.int32), pos)):
-                        c.append(x)
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "cls", "n", "pos"])
-
-    return docs.select("text").mapInArrow(run, "key long, cls long, n int, pos int")
+            for piece, flat, size in flat_sets(batch, met):
+                row = np.repeat(np.arange(len(size)), size)
+                seen = np.minimum(order.value[(flat >> np.uint64(64 - ORDER_BITS)).astype(np.int64)], (1 << 22) - 1)
+                rank = seen.astype(np.uint64) << np.uint64(42) | mix64(flat) >> np.uint64(22)
+                by = np.lexsort((rank, row))
+                pos = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+                near = pos < np.repeat(size - (PERCENT * size + 99) // 100 + 1, size)
+                key, row, pos = flat[by][near], row[near], pos[near]
+                if not sieve:
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
+                    continue
+                hit = sieve(key)
+                key, row, pos = key[hit], row[hit], pos[hit]
+                cls = piece.column("cls").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls[row]), pa.array(size[row].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["key", "cls", "n", "pos"])
+
+    return sets.select("cls", "shingles").mapInArrow(run, "key long, cls long, n int, pos int" if sieve else "key long")
 
 
 def needed(n):
@@ -187,7 +209,7 @@ def far_apart(a: str, b: str):
     return (ca != -1) & (cb != -1) & (apart > n - 2 * needed(n))
 
 
-def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def verify(sets: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar enough, each compared once, shingle by shingle."""
     side = lambda t: classes.select(F.col("cls").alias(t), F.col("n").alias(f"{t}_n"), F.col("parts").alias(f"{t}_parts"))
     pairs = settle(pairs.join(side("a"), "a").join(side("b"), "b").filter(~far_apart("a", "b")).select("a", "b"), "pairs")
@@ -200,55 +222,69 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     # One row of each wanted class passes, but for the sieve's few false hits, whose sets are equal or not asked for.
     sieve = sieve_of(classes.join(of, "cls").select("cls", "rep").mapInArrow(mark, "mark long"), "mark")
 
-    def emit(batches):
+    def wanted(batches):
         for batch in batches:
-            for piece in text_pieces(batch):
-                found = [(class_of(s), s) for s in shingle_sets(utf8(piece.column("text")))]
-                marks = np.array([mark_of(c, i) for (c, _), i in zip(found, piece.column("doc_id").to_pylist())], np.uint64)
-                own = [x for x, hit in zip(found, sieve(marks) if len(marks) else ()) if hit and len(x[1])]
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.int64()), pa.array([s.tobytes() for _, s in own], pa.binary())], names=["cls", "shingles"])
+            marks = np.array([mark_of(c, i) for c, i in zip(batch.column("cls").to_pylist(), batch.column("doc_id").to_pylist())], np.uint64)
+            if len(marks):
+                yield batch.select(["cls", "shingles"]).filter(pa.array(sieve(marks), pa.bool_()))
 
-    sets = settle(docs.select("doc_id", "text").mapInArrow(emit, "cls long, shingles binary"), "shingles")
+    some = settle(sets.select("doc_id", "cls", "shingles").mapInArrow(wanted, "cls long, shingles binary"), "shingles")
 
     def compare(batches):
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    full = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
-    return settle(full.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct(), "verified")
+    full = pairs.join(some.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(some.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
+    out = settle(full.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct(), "verified")
+    forget(some)
+    return out
+
+
+def size_class(n):
+    """Sets that link lie in the same class of sizes or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / PERCENT)) + F.lit(1e-9)).cast("int")
 
 
-def link_classes(docs: DataFrame, rows: DataFrame, order: np.ndarray) -> tuple[DataFrame, DataFrame]:
+def link_classes(sets: DataFrame, rows: DataFrame, order: np.ndarray) -> tuple[DataFrame, DataFrame]:
     """(classes, comps): each class with its least doc_id; and (node, comp) of the linked classes.
 
     Prefix shingles that one class alone has are dropped. Round one links each class that holds a
     key with the key's most central class (the one with the fewest rarer shingles), so a group of
     near copies costs as many pairs as it has members. Round two compares, within a key, what is
-    still in different components: no link between different texts is lost, and no pair inside a
-    component is made.
+    still in different components: no link between different texts is lost, and no pair inside a component
+    is made. Under a key that many classes hold, sets too different in size never meet.
     """
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     classes = settle(rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts")), "classes")
     order = spark.sparkContext.broadcast(order)
-    keys = settle(prefixes(docs, order).groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high").select("key"), "keys")
-    held = prefixes(docs, order, sieve_of(keys, "key")).groupBy("key", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-    held = settle(held.join(keys, "key"), "held")
+    # More than one row a key: of several classes, or of one class that several tasks have read.
+    keys = settle(prefixes(sets, order).select("key").groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key"), "keys")
+    some = settle(prefixes(sets, order, sieve_of(keys, "key")).groupBy("key", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "some")
+    members = some.groupBy("key").agg(F.count("*").cast("int").alias("members")).filter("members > 1")
+    held = settle(some.join(members, "key"), "held")
+    forget(keys)
+    forget(some)
     centre = held.groupBy("key").agg(F.min(F.struct("pos", "cls", "n")).alias("c")).select("key", "c.pos", "c.cls", "c.n")
     first = held.alias("x").join(centre.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") != F.col("y.cls")) & may_link("x", "y"))
     tried = settle(first.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct(), "tried")
-    links = verify(docs, classes, tried)
+    links = verify(sets, classes, tried)
     comps = settle(components(links), "comps")
-    named = held.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    # A key of two members has been tried.
+    named = held.filter("members > 2").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")).withColumn("size", size_class(F.col("n")))
     mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
-    open_ = settle(named.join(mixed, "key"), "open")
-    second = open_.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & may_link("x", "y"))
+    # Under a key of many members, a set lies in its own block of sizes and the next; two sets meet in the block of the larger one.
+    blocks = F.when(F.col("members") > MANY, F.array(F.col("size"), F.col("size") + 1)).otherwise(F.array(F.lit(-1)))
+    open_ = settle(named.join(mixed, "key").withColumn("block", F.explode(blocks)).select("key", "cls", "n", "pos", "comp", "size", "block"), "open")
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.comp") < F.col("y.comp"))
+    once = (F.col("x.block") < 0) | (F.col("x.block") == F.greatest("x.size", "y.size"))
+    second = open_.alias("x").join(open_.alias("y"), meet & once & may_link("x", "y"))
     rest = second.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = verify(docs, classes, rest)
+    more = verify(sets, classes, rest)
     return classes, settle(components(links.unionByName(more)), "comps") if not more.isEmpty() else comps
 
 
@@ -272,8 +308,8 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     only one stays where no linked row has an id. Texts without words are alone and stay; an empty
     table gives an empty result.
     """
-    rows, order = describe(docs)
-    classes, comps = link_classes(docs, rows, order)
+    rows, sets, order = describe(docs)
+    classes, comps = link_classes(sets, rows, order)
     least = rows.filter("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("s"))
     named = least.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     of = named.join(named.groupBy("comp").agg(F.min("s").alias("speaks")), "comp").select("cls", "speaks")
@@ -286,8 +322,8 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
 def row_components(docs: DataFrame) -> DataFrame:
     """doc_id, key, n_shingles, component_id of each row."""
-    rows, order = describe(docs)
-    classes, comps = link_classes(docs, rows, order)
+    rows, sets, order = describe(docs)
+    classes, comps = link_classes(sets, rows, order)
     named = classes.select("cls", "rep").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of = named.join(ids, "comp").select("cls", "component_id")
