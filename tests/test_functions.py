@@ -1,7 +1,10 @@
 """Pure functions: the cutter, balance, the allowlist, and columns by cases."""
 
 import random
+import re
+from html.parser import HTMLParser
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from docloom.functions import layout as L
 from docloom.functions import lexer, marks
 from docloom.functions import markdown as M
 from docloom.functions import text as T
-from docloom.functions.sanitizer import handler, sanitize, text_handler
+from docloom.functions.sanitizer import ALLOWED, DROPPED, handler, sanitize, text_handler
 from docloom.sources import sinks
 from docloom.sources.pdf import Pdf, SplitError, simple_pdf
 from docloom.streaming.live import Cutter, Document, advance, paints
@@ -64,6 +67,54 @@ def test_sanitizer(page, clean):
     assert sanitize(clean) == clean
 
 
+class Reader(HTMLParser):
+    """What an allowlist must leave of a page, by the standard library's parser: text as written, and start tags."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=False)
+        self.text, self.starts, self.hidden = [], [], []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in DROPPED:
+            if tag not in lexer.VOID:
+                self.hidden.append(tag)
+        elif not self.hidden and tag in ALLOWED:
+            self.starts.append(tag)
+
+    def handle_endtag(self, tag):
+        if self.hidden and tag == self.hidden[-1]:
+            self.hidden.pop()
+
+    def put(self, raw):
+        if not self.hidden:
+            self.text.append(raw)
+
+    handle_data = put
+
+    def handle_entityref(self, name):
+        self.put(f"&{name};")
+
+    def handle_charref(self, name):
+        self.put(f"&#{name};")
+
+
+def test_pages_against_the_standard_parser():
+    """Sanitized pages and their blocks hold the text and the allowed elements of the page, in order, and nothing else."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    squeezed = lambda x: "".join(x.split())
+    for page in pages:
+        expected = Reader(page)
+        clean = sanitize(page)
+        assert squeezed(re.sub("<[^>]*>", "", clean)) == squeezed("".join(expected.text))
+        assert re.findall("<([a-z0-9]+)", clean) == expected.starts
+        assert not re.search(r'<[^>]*(?: on[a-z]+=|href="/|style=|class=)', clean)
+        blocks = lexer.normalize(sanitize(lexer.strip_fence(page)))
+        assert all(map(lexer.is_complete, blocks))
+        assert squeezed(re.sub("<[^>]*>", "", "".join(blocks))) == squeezed("".join(expected.text))
+
+
 def test_handlers():
     hide = text_handler("*", lambda t: t.replace("room 17", "room #"))
     assert sanitize("<h3>In room 17 <u>now</u></h3>", (hide,)) == "<h3>In room # <u>now</u></h3>"
