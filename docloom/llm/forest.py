@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import settle
+from docloom.llm.common import settle, ship
 
 #: Trees, rows of a tree's subsample, and documents of the bounded sample that the subsamples come from.
 TREES, SUBSAMPLE, SAMPLE = 100, 256, 8192
@@ -169,6 +169,7 @@ def judge(docs: DataFrame, labels: DataFrame, trees: int = TREES, subsample: int
     the base rules decide alone; an empty table gives an empty result; texts of any length are read whole; equal scores fall on the same side
     of the threshold; other columns are left out, whatever their names.
     """
+    ship(docs.sparkSession)
     stats = settle(rule_statistics(docs), "stats")
     sound = f"n_words >= {LEAST_WORDS} and 100 * n_repeat_words <= {MOST_REPEATED} * n_words"
     rows = sample_of(stats.filter(sound), sample)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.cascade import host, path
-from docloom.llm.common import settle
+from docloom.llm.common import settle, ship
 from docloom.llm.markup import lines_of
 
 #: Neighbours on either side in URL order that may become the partner of a class of equal pages, and
@@ -208,8 +208,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     longest common subsequence, and shared lines are deleted, inside article and main elements too (see
     ``kept_lines``). A null or empty page has an empty text; a page whose host has no other body lines keeps
     what the tags say; copies within a host get equal texts; repeated rows give equal texts; other columns are left
-    out; an empty table gives an empty result. Whole pages are read.
+    out, whatever their names; an empty table gives an empty result. Whole pages of any length are read. Of neighbours
+    whose paths are equally near, the one that stands first in order of path and class is the partner.
     """
+    ship(pages.sparkSession)
     kept = keep_lists(pages).groupBy("key").agg(F.first("kept").alias("kept"))  # equal rows are told the same
     rows = pages.select("page_id", "url", "html", F.xxhash64(F.col("page_id").cast("string"), "url", "html").alias("key")).join(kept, "key", "left").select("page_id", "url", "html", "kept")
 
