@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import math
 
 import numpy as np
@@ -74,6 +76,20 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 100, read: int = 512):
+    """Queries that run inside move few rows at a time between Parquet, Spark and Python: theirs are long."""
+    sizes = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.parquet.columnarReaderBatchSize": read}
+    before = {k: spark.conf.get(k) for k in sizes}
+    for k, v in sizes.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def text_pieces(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 2_000_000):
     """Slices of a batch with about ``most_bytes`` of text each; one longer text makes a slice alone."""
     lens = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
@@ -106,6 +122,20 @@ def let(value, body):
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+@functools.lru_cache(1)
+def lean() -> None:
+    """From now on this worker gives arrays beyond 1 MB back to the system when they are freed.
+
+    The C library otherwise learns to keep them, and a worker stays as large as its largest batch.
+    """
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 class Powers:
     """Powers of the word multiplier and of its inverse, grown when a longer buffer comes."""
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import LOWER, forget, lay_out, mix64, pack, row_key, settle, sum_vectors, text_pieces, unpack, utf8, without, words_of
+from docloom.llm.common import LOWER, forget, lay_out, lean, mix64, pack, row_key, settle, ship, small_batches, sum_vectors, text_pieces, unpack, utf8, without, words_of
 from docloom.llm.graph import components
 
 #: Words of a shingle, and the least similarity in hundredths.
@@ -121,12 +121,14 @@ def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
 
     Texts are read once; every later step reads the sets.
     """
+    ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     arrow = docs.select("doc_id").limit(0).toArrow().schema.field(0).type
 
     def run(batches):
         from pyspark import TaskContext
 
+        lean()
         counts = np.zeros(1 << ORDER_BITS, np.uint32)
         schema = pa.schema([("doc_id", arrow), ("key", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("parts", pa.int64()), ("shingles", pa.binary()), ("chunk", pa.int32()), ("part", pa.int64()), ("vec", pa.binary())])
         for batch in batches:
@@ -168,6 +170,7 @@ def prefixes(sets: DataFrame, order, sieve=None) -> DataFrame:
     """(key, cls, n, pos): the rarest shingles of each set, as many as two linked sets must share one of; without a sieve the keys alone."""
 
     def run(batches):
+        lean()
         met: set = set()
         for batch in batches:
             for piece, flat, size in flat_sets(batch, met):
@@ -223,6 +226,7 @@ def verify(sets: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     sieve = sieve_of(classes.join(of, "cls").select("cls", "rep").mapInArrow(mark, "mark long"), "mark")
 
     def wanted(batches):
+        lean()
         for batch in batches:
             marks = np.array([mark_of(c, i) for c, i in zip(batch.column("cls").to_pylist(), batch.column("doc_id").to_pylist())], np.uint64)
             if len(marks):
@@ -231,6 +235,7 @@ def verify(sets: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     some = settle(sets.select("doc_id", "cls", "shingles").mapInArrow(wanted, "cls long, shingles binary"), "shingles")
 
     def compare(batches):
+        lean()
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("x"), batch.column("y")):
@@ -308,8 +313,9 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     only one stays where no linked row has an id. Texts without words are alone and stay; an empty
     table gives an empty result.
     """
-    rows, sets, order = describe(docs)
-    classes, comps = link_classes(sets, rows, order)
+    with small_batches(docs.sparkSession):
+        rows, sets, order = describe(docs)
+        classes, comps = link_classes(sets, rows, order)
     least = rows.filter("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("s"))
     named = least.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     of = named.join(named.groupBy("comp").agg(F.min("s").alias("speaks")), "comp").select("cls", "speaks")
@@ -322,8 +328,9 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
 def row_components(docs: DataFrame) -> DataFrame:
     """doc_id, key, n_shingles, component_id of each row."""
-    rows, sets, order = describe(docs)
-    classes, comps = link_classes(sets, rows, order)
+    with small_batches(docs.sparkSession):
+        rows, sets, order = describe(docs)
+        classes, comps = link_classes(sets, rows, order)
     named = classes.select("cls", "rep").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of = named.join(ids, "comp").select("cls", "component_id")
