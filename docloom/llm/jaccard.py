@@ -17,8 +17,6 @@ SHINGLE, PERCENT = 5, 75
 ORDER_BITS, CHUNK = 22, 1 << 16
 #: Members of a key beyond which they are dealt out by size before they meet.
 MANY = 64
-#: Classes that a task remembers to have read; a class that it reads again costs rows and changes nothing.
-MET = 500_000
 #: Bytes of text that are worked on at a time: what a task holds is some 100 times as much.
 PIECE = 500_000
 #: Bits of the bitmaps that spare the shuffle what can't matter; a join decides what they let through.
@@ -153,27 +151,36 @@ def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
     return rows.select("doc_id", "key", "n", "cls", "parts"), rows.filter("n > 0").select("doc_id", "cls", "n", "shingles"), order
 
 
-def flat_sets(batch: pa.RecordBatch, met: set):
-    """The sets of a batch's rows as one array, with each row's size, a few MB at a time; a class that is in ``met`` is left out."""
-    new = []
-    for c in batch.column("cls").to_pylist():
-        new.append(c not in met)
-        met.add(c)
-    if len(met) > MET:
-        met.clear()
-    for piece in text_pieces(batch.filter(pa.array(new, pa.bool_())), "shingles", 4 * PIECE):
+def marks_of(batch: pa.RecordBatch, row: str) -> np.ndarray:
+    """The marks (see ``mark_of``) of a batch's classes with the rows in column ``row``."""
+    return np.array([mark_of(c, r) for c, r in zip(batch.column("cls").to_pylist(), batch.column(row).to_pylist())], np.uint64)
+
+
+def speakers(classes: DataFrame):
+    """A test of rows by their marks: the row that speaks for each of ``classes`` passes, and few others."""
+
+    def mark(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(marks_of(b, "rep").view(np.int64))], names=["mark"])
+
+    return sieve_of(classes.select("cls", "rep").mapInArrow(mark, "mark long"), "mark")
+
+
+def flat_sets(batch: pa.RecordBatch, speaks):
+    """The sets of the rows that speak for their classes as one array, with each row's size, a few MB at a time."""
+    own = batch.filter(pa.array(speaks(marks_of(batch, "doc_id")), pa.bool_())) if batch.num_rows else batch
+    for piece in text_pieces(own, "shingles", 4 * PIECE):
         raw = piece.column("shingles").to_pylist()
         yield piece, np.frombuffer(b"".join(raw), np.uint64), np.array([len(x) // 8 for x in raw], np.int64)
 
 
-def prefixes(sets: DataFrame, order, sieve=None) -> DataFrame:
+def prefixes(sets: DataFrame, order, speaks, sieve=None) -> DataFrame:
     """(key, cls, n, pos): the rarest shingles of each set, as many as two linked sets must share one of; without a sieve the keys alone."""
 
     def run(batches):
         lean()
-        met: set = set()
         for batch in batches:
-            for piece, flat, size in flat_sets(batch, met):
+            for piece, flat, size in flat_sets(batch, speaks):
                 row = np.repeat(np.arange(len(size)), size)
                 seen = np.minimum(order.value[(flat >> np.uint64(64 - ORDER_BITS)).astype(np.int64)], (1 << 22) - 1)
                 rank = seen.astype(np.uint64) << np.uint64(42) | mix64(flat) >> np.uint64(22)
@@ -189,7 +196,7 @@ def prefixes(sets: DataFrame, order, sieve=None) -> DataFrame:
                 cls = piece.column("cls").to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls[row]), pa.array(size[row].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["key", "cls", "n", "pos"])
 
-    return sets.select("cls", "shingles").mapInArrow(run, "key long, cls long, n int, pos int" if sieve else "key long")
+    return sets.select("doc_id", "cls", "shingles").mapInArrow(run, "key long, cls long, n int, pos int" if sieve else "key long")
 
 
 def needed(n):
@@ -218,19 +225,14 @@ def verify(sets: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs = settle(pairs.join(side("a"), "a").join(side("b"), "b").filter(~far_apart("a", "b")).select("a", "b"), "pairs")
     of = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
 
-    def mark(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([mark_of(c, r) for c, r in zip(b.column("cls").to_pylist(), b.column("rep").to_pylist())], np.uint64).view(np.int64))], names=["mark"])
-
     # One row of each wanted class passes, but for the sieve's few false hits, whose sets are equal or not asked for.
-    sieve = sieve_of(classes.join(of, "cls").select("cls", "rep").mapInArrow(mark, "mark long"), "mark")
+    sieve = speakers(classes.join(of, "cls"))
 
     def wanted(batches):
         lean()
         for batch in batches:
-            marks = np.array([mark_of(c, i) for c, i in zip(batch.column("cls").to_pylist(), batch.column("doc_id").to_pylist())], np.uint64)
-            if len(marks):
-                yield batch.select(["cls", "shingles"]).filter(pa.array(sieve(marks), pa.bool_()))
+            if batch.num_rows:
+                yield batch.select(["cls", "shingles"]).filter(pa.array(sieve(marks_of(batch, "doc_id")), pa.bool_()))
 
     some = settle(sets.select("doc_id", "cls", "shingles").mapInArrow(wanted, "cls long, shingles binary"), "shingles")
 
@@ -267,9 +269,10 @@ def link_classes(sets: DataFrame, rows: DataFrame, order: np.ndarray) -> tuple[D
     spark = rows.sparkSession
     classes = settle(rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts")), "classes")
     order = spark.sparkContext.broadcast(order)
-    # More than one row a key: of several classes, or of one class that several tasks have read.
-    keys = settle(prefixes(sets, order).select("key").groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key"), "keys")
-    some = settle(prefixes(sets, order, sieve_of(keys, "key")).groupBy("key", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "some")
+    speaks = speakers(classes)
+    # More than one row a key: of several classes, or of one whose speaking row is repeated.
+    keys = settle(prefixes(sets, order, speaks).select("key").groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key"), "keys")
+    some = settle(prefixes(sets, order, speaks, sieve_of(keys, "key")).groupBy("key", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "some")
     members = some.groupBy("key").agg(F.count("*").cast("int").alias("members")).filter("members > 1")
     held = settle(some.join(members, "key"), "held")
     forget(keys)
