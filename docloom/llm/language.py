@@ -7,11 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import lay_out, mod_of_id, text_pieces, utf8
+from docloom.llm.common import lay_out, lean, mod_of_id, ship, text_pieces, utf8
 
 #: Units of each direction; bytes of a text that are labelled together, the bytes on either side that are read with them
 #: so that a state is never begun anew in mid-text, and how many such stretches run side by side.
-UNITS, STEPS, WARM, SIDE = 8, 1024, 48, 4096
+UNITS, STEPS, WARM, SIDE = 8, 1024, 48, 1024
 #: Bounded training sample: bytes of whole texts a language, languages that have so many (more languages share as
 #: many together), and the least documents of each; then steps of training, texts in each, bytes of each, and rate.
 BYTES_A_LANG, LANGS, LEAST_DOCS, ROUNDS, BATCH, STRETCH, RATE = 1_000_000, 256, 2, 240, 144, 96, 0.02
@@ -213,11 +213,13 @@ def identify(docs: DataFrame, net: Net | None) -> DataFrame:
     """
 
     def run(batches):
+        lean()
         for batch in batches:
             for part in text_pieces(batch, most_bytes=1_000_000):
                 pred, score = labels(utf8(part.column("text")), net)
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "lang_pred": pa.array(pred.tolist(), pa.string()), "score": pa.array(score)})
 
+    ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", (mod_of_id("doc_id", 4) == 2).alias("held_out")).mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
@@ -230,9 +232,11 @@ def drop_unknown(docs: DataFrame, net: Net | None, least: float) -> DataFrame:
     """
 
     def run(batches):
+        lean()
         for batch in batches:
             for part in text_pieces(batch, most_bytes=1_000_000):
                 pred, score = labels(utf8(part.column("text")), net)
                 yield part.filter(pa.array((pred != "und") & (score >= least), pa.bool_()))
 
+    ship(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
