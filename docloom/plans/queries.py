@@ -597,9 +597,9 @@ NAMES = ("benchmark", "conversations", "customer", "documents", "embeddings", "e
 
 @query("SELECT name || '.parquet' AS name, name AS title, NULL AS media_type, 'Unknown file type: ' || name || '.parquet' AS error FROM (VALUES " + ", ".join(f"('{n}')" for n in NAMES) + ") AS t(name)")
 def file_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables' own files as sources, by their names; their type is none that can be read."""
+    """The tables as sources, by their names, whether one file or a folder of part files; their type is none that can be read."""
     ship(spark)
-    return scans.read_files(spark, sf_dir, "*.parquet").select("name", "title", "media_type", "error")
+    return scans.read_files(spark, sf_dir, "*.parquet", folders=True).select("name", "title", "media_type", "error")
 
 
 @query("""SELECT page_id, '{"model":"m","stream":true,"temperature":0,"messages":[{"role":"user","content":[{"type":"text","text":"' || '""" + scans.HTML_PROMPT + """ This is page ' || page_id || ' of 9."},{"type":"image_url","image_url":{"url":"data:image/png;base64,' || base64(encode(url)) || '"}}]}]}' AS choices,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import fnmatch
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,10 +45,22 @@ def is_image(media_type: Column) -> Column:
     return media_type.startswith("image/")
 
 
-def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Files as sources; the title is the name without its extension, an unknown type gives an error text."""
+def read_files(spark: SparkSession, path: str, glob: str | None = None, folders: bool = False) -> DataFrame:
+    """Files as sources; the title is the name without its extension, an unknown type gives an error text.
+
+    With ``folders`` what lies in the folder ``path`` itself is read, and ``glob`` is held against its names: a folder
+    there, such as a table of many part files, is one source under its own name, without content.
+    """
     reader = spark.read.format("binaryFile")
-    rows = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    if folders:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        root = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(at).toString().rstrip("/")
+        inside = F.substr("path", F.lit(len(root) + 2))
+        rows = reader.option("recursiveFileLookup", "true").load(path).select(inside.alias("inside"), "content").filter(F.split_part("inside", F.lit("/"), F.lit(1)).rlike(fnmatch.translate(glob or "*")))
+        parts = rows.filter(F.contains("inside", F.lit("/"))).select(F.split_part("inside", F.lit("/"), F.lit(1)).alias("inside")).distinct()
+        rows = rows.filter(~F.contains("inside", F.lit("/"))).unionByName(parts, allowMissingColumns=True).select(F.concat(F.lit(root + "/"), "inside").alias("path"), "content")
+    else:
+        rows = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
     name = F.regexp_extract("path", r"([^/]*)\z", 1)
     media = T.media_type(name)
     error = F.when(media.isNull(), F.concat(F.lit("Unknown file type: "), name))

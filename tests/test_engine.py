@@ -1,11 +1,13 @@
 """Conversion, folds and queries end to end."""
 
+import os
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import convert, fold
-from docloom.sources import sinks
+from docloom.sources import scans, sinks
 from docloom.sources.pdf import simple_pdf
 from docloom.sources.registry import function_parser
 
@@ -90,6 +92,25 @@ def test_query_equals_sql(spark, name):
     assert ours == sorted(map(repr, con.sql(entry.oracle_sql()[name]).project(", ".join(cols)).fetchall()))
 
 
+def test_file_sources_of_folders(spark, tmp_path):
+    """A table of part files, even in folders of values, is one source; other files of the folder are none."""
+    entry, queries = load_queries()
+    for name in sorted(os.listdir(SF)):
+        if name == "documents.parquet":
+            spark.read.parquet(f"{SF}/{name}").repartition(3).write.parquet(str(tmp_path / name))
+        elif name == "pages.parquet":
+            spark.read.parquet(f"{SF}/{name}").withColumn("half", F.col("page_id") % 2).write.parquet(str(tmp_path / name), partitionBy=["half"])
+        else:
+            os.symlink(f"{SF}/{name}", tmp_path / name)
+    (tmp_path / "notes.txt").write_text("x")
+    df = queries["file_sources"](spark, str(tmp_path) + "/")
+    ours = sorted(map(tuple, df.collect()))
+    assert ours == sorted(duckdb.connect().sql(entry.oracle_sql()["file_sources"]).project(", ".join(df.columns)).fetchall())
+    read = {r.name: r for r in scans.read_files(spark, str(tmp_path), "*[ts].*", folders=True).collect()}
+    assert {n for n in os.listdir(tmp_path) if n.partition(".")[0][-1] in "ts"} == set(read)
+    assert bytes(read["notes.txt"].content) == b"x" and read["documents.parquet"].content is None
+
+
 def test_pages_are_safe(spark):
     _, queries = load_queries()
     rows = queries["page_sanitized"](spark, SF)
