@@ -412,6 +412,36 @@ def test_scores_against_plain_python(spark, docs, monkeypatch):
             assert math.isclose(r.score, plain(texts[r.doc_id], int(not held[r.doc_id])), rel_tol=2e-4, abs_tol=1e-3), r.doc_id
 
 
+def test_every_decision_is_learned_from(spark):
+    """The code tree and the weights see each byte of all training texts, however long and many: no sample does."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abé \n" if i % 3 else "xyz ", k=rng.choice([0, 40, 9000]))) for i in range(40)] + ["q" * 5000 + "Z" + "q" * 5000, None]
+    training = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    counts = mixing.byte_counts(mixing.learned_texts(training))
+    raw = [(t or "").encode() for t in texts]
+    assert counts.tolist() == np.bincount(np.frombuffer(b"".join(t + bytes([mixing.END]) for t in raw), np.uint8), minlength=256).tolist()
+    code = mixing.Code(counts)
+    rows = mixing.settle(mixing.ask(training.select("doc_id", F.lit(False).alias("held_out"), "text"), code, 3), "asked")
+    told = rows.filter("k < 0").unionByName(mixing.answer(rows, code))
+    tallies = mixing.tallies(told, code, 3)
+    size = dict(zip(range(256), code.size[code.leaf.astype(int)].tolist()))
+    assert tallies.sum() == sum(n * size[b] for b, n in enumerate(counts.tolist()))
+    model = mixing.Model(code).learn(tallies)
+    assert not np.allclose(model.by_known, 0.3) and np.isfinite(model.by_known).all() and np.isfinite(model.by_depth).all() and np.isfinite(model.top).all()
+
+
+def test_newton():
+    """Weights of gated decisions against plain gradient ascent."""
+    rng = np.random.default_rng(5)
+    x, gate, n = rng.normal(0.3, 1, (3, 60)), rng.integers(0, 2, 60), rng.integers(1, 200, 60).astype(float)
+    got = mixing.newton(x, n, gate, np.full((2, 3), 0.3, np.float32))
+    w = np.full((2, 3), 0.3)
+    for _ in range(20000):
+        pull = n / (1 + np.exp((w[gate] * x.T).sum(1)))
+        w += 2e-4 * (np.stack([np.bincount(gate, pull * x[i], 2) for i in range(3)], 1) - mixing.HOLD * (w - np.float32(0.3)))
+    assert np.allclose(got, w, atol=1e-4)
+
+
 def test_context_counts(spark):
     """What a context has seen at a node is counted exactly, on however many texts and parts."""
     rng = random.Random(6)
