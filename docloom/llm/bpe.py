@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Powers, lay_out, mix64, prefix_hash, row_key, ship, text_pieces, utf8
+from docloom.llm.common import Powers, kept, lay_out, mix64, prefix_hash, row_key, ship, text_pieces, utf8
 
 #: A chunk ends where the rolling hash of the last WINDOW bytes has these bits all set: 256 bytes on average.
 WINDOW, MASK = 8, 0xFF << 8
@@ -28,7 +28,7 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@functools.lru_cache(2)
+@kept
 def load(path: str):
     """The vocabulary file as a rank encoder, and the special tokens by text."""
     import public_tokenizers

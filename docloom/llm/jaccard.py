@@ -73,16 +73,20 @@ def spots(values: np.ndarray, bits: int) -> np.ndarray:
     return np.stack((h >> np.uint64(64 - bits), mix64(h) >> np.uint64(64 - bits))).astype(np.int64)
 
 
-def sieve_of(df: DataFrame, column: str, bits: int = SIEVE_BITS):
-    """A bitmap of 2**bits bits of the values of a long column, as a broadcast test."""
+def sieve_of(df: DataFrame, values, bits: int = SIEVE_BITS):
+    """A bitmap of 2**bits bits of ``values(batch)``, a 64-bit number for each row, as a broadcast test.
+
+    The numbers are made where they are marked: one Python worker a task, not a chain of two.
+    """
     bits = max(16, min(bits, int(np.ceil(np.log2(max(df.count(), 1) * 12)))))
 
     def mark(batches):
         from pyspark import TaskContext
 
+        lean()
         own = np.zeros(1 << bits, bool)
         for b in batches:
-            own[spots(b.column(0).to_numpy().view(np.uint64), bits).ravel()] = True
+            own[spots(values(b), bits).ravel()] = True
         packed = np.packbits(own, bitorder="little").view(np.uint8)
         step = min(CHUNK, len(packed))
         part = TaskContext.get().partitionId()
@@ -98,7 +102,7 @@ def sieve_of(df: DataFrame, column: str, bits: int = SIEVE_BITS):
             total |= np.frombuffer(v.as_buffer(), np.uint8)
         return rows.slice(0, 1).set_column(2, "vec", pa.array([total.tobytes()], pa.binary()))
 
-    marked = df.select(column).mapInArrow(mark, "chunk int, part long, vec binary").withColumn("part", F.col("part") % 64)
+    marked = df.mapInArrow(mark, "chunk int, part long, vec binary").withColumn("part", F.col("part") % 64)
     schema = "chunk int, part long, vec binary"
     marked = marked.groupBy("chunk", "part").applyInArrow(join, schema).withColumn("part", F.lit(0).cast("long")).groupBy("chunk").applyInArrow(join, schema)
     whole = np.zeros((1 << bits) // 8, np.uint8)
@@ -158,12 +162,7 @@ def marks_of(batch: pa.RecordBatch, row: str) -> np.ndarray:
 
 def speakers(classes: DataFrame):
     """A test of rows by their marks: the row that speaks for each of ``classes`` passes, and few others."""
-
-    def mark(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(marks_of(b, "rep").view(np.int64))], names=["mark"])
-
-    return sieve_of(classes.select("cls", "rep").mapInArrow(mark, "mark long"), "mark")
+    return sieve_of(classes.select("cls", "rep"), lambda b: marks_of(b, "rep"))
 
 
 def flat_sets(batch: pa.RecordBatch, speaks):
@@ -272,7 +271,7 @@ def link_classes(sets: DataFrame, rows: DataFrame, order: np.ndarray) -> tuple[D
     speaks = speakers(classes)
     # More than one row a key: of several classes, or of one whose speaking row is repeated.
     keys = settle(prefixes(sets, order, speaks).select("key").groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key"), "keys")
-    some = settle(prefixes(sets, order, speaks, sieve_of(keys, "key")).groupBy("key", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "some")
+    some = settle(prefixes(sets, order, speaks, sieve_of(keys, lambda b: b.column(0).to_numpy().view(np.uint64))).groupBy("key", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "some")
     members = some.groupBy("key").agg(F.count("*").cast("int").alias("members")).filter("members > 1")
     held = settle(some.join(members, "key"), "held")
     forget(keys)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 from collections import Counter
 
@@ -11,7 +10,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import settle, ship, text_pieces
+from docloom.llm.common import kept, settle, ship, text_pieces
 
 #: What the vocabulary writes for a space.
 MARK = "▁"
@@ -23,7 +22,7 @@ HOT, HOT_CHARS = 500_000, 32
 PRE = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
-@functools.lru_cache(2)
+@kept
 def load(path: str):
     import sentencepiece
 

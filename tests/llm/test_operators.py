@@ -145,6 +145,31 @@ def test_jaccard(docs, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_near_copies_take_one_worker_a_task(docs, monkeypatch):
+    """No stage of the join pipes one Python worker into another: each costs an executor its memory."""
+    plans, own = [], type(docs).mapInArrow
+
+    def watched(self, *a, **k):
+        plans.append(self._jdf.queryExecution().optimizedPlan().toString())
+        return own(self, *a, **k)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", watched)
+    assert jaccard.jaccard_components(docs).count() == docs.count()
+    assert len(plans) > 5 and not [p for p in plans if "MapInArrow" in p]
+
+
+def test_lean_workers():
+    """A task that needs room clears the models that other operators keep in its worker."""
+    from docloom.llm import common
+
+    load = common.kept(lambda path: [path])
+    first = load("a")
+    assert load("a") is first
+    common.lean()
+    assert load("a") is not first
+    common.MODELS.remove(load)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 105), (105, 101), (7, 7)]
     got = {r.node: r.comp for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
