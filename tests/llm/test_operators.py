@@ -505,6 +505,36 @@ def test_context_counts(spark):
     assert sorted((k, g & 255, value) for (k, g), value in got.items()) == expected
 
 
+def test_distinct_grams_of_a_group(monkeypatch):
+    """A gram stands once in its group, however often its bytes do, with its times and places; hashes that differ in the low bits stay apart."""
+    monkeypatch.setattr(mixing, "PIECE", 400)
+    monkeypatch.setattr(mixing, "BLOCK", 100)
+    rng = random.Random(9)
+    texts = ["".join(rng.choices(["word ", "longerword ", "é", "\n"], k=rng.choice([0, 3, 60]))).encode() for _ in range(40)]
+    held = mixing.Grams(texts, places=True)
+    plain = []
+    for t in texts:
+        raw, word = bytes([mixing.END]) * mixing.PAD + t + bytes([mixing.END]), b""
+        for i in range(mixing.PAD, len(raw)):
+            word = b"" if raw[i - 1] in b" \t\n\v\f\r\xff" else word + raw[i - 1 : i]
+            plain.append((raw[i - 5 : i + 1], word))
+    counts = collections.Counter(plain)
+    assert len(held.key) == len(counts) < len(plain) / 2 and sorted(held.times.tolist()) == sorted(counts.values())
+    at = np.concatenate([number[own] for own, _, number in held.pieces])
+    assert [int(held.key[i]).to_bytes(6, "little") for i in at] == [k for k, _ in plain]
+    assert len({(w, int(held.word[i])) for i, (_, w) in zip(at, plain)}) == len({w for _, w in plain})
+    worth = np.random.default_rng(1).random((2, len(held.key)))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    assert np.allclose(held.sums(worth), np.add.reduceat(worth[:, at], ends - [len(t) + 1 for t in texts], axis=1))
+    near = np.array([1 << 60, (1 << 60) + 1, 1 << 60, 5, (1 << 60) + 1], np.uint64)
+    order, first, size = mixing.distinct(near)
+    assert sorted(zip(near[order[first]].tolist(), size.tolist())) == [(5, 1), (1 << 60, 2), ((1 << 60) + 1, 2)]
+    assert near[order[first]][mixing.numbers(order, size)].tolist() == near.tolist()
+    own, place = mixing.ordered(near)
+    assert own[place].tolist() == near.tolist() and own.tolist() == sorted(set(near.tolist()))
+    assert len(mixing.Grams([]).key) == 0
+
+
 def test_code_is_complete():
     size, nodes, bits = mixing.huffman(np.array([1000, 3, 0, 7] + [0] * 252))
     assert math.isclose(sum(2.0 ** -int(s) for s in size), 1.0) and size.max() <= mixing.DEPTHS
